@@ -75,6 +75,26 @@ def _word(w: str) -> str:
     return _ISE.sub(r"iz\1", w)
 
 
+@lru_cache(100_000)
+def _derived_first(w: str) -> str:
+    return next((d for d in DERIVED_FIRST if near(w, d)), "")
+
+
+@lru_cache(100_000)
+def _derived_first_two(two: str) -> str:
+    return next((d for d in DERIVED_FIRST_TWO if near(two, d)), "")
+
+
+@lru_cache(100_000)
+def _derived_last_word(w: str) -> bool:
+    return any(near(w, d.split()[1]) for d in DERIVED_LAST_TWO)
+
+
+@lru_cache(100_000)
+def _derived_last_two(last: str) -> str:
+    return next((d for d in DERIVED_LAST_TWO if distance(last, d, 2) <= 2), "")
+
+
 def fold(text: str) -> str:
     """Lower case, without accents, ligatures, markup and repeated blanks."""
     if not text.isascii():
@@ -106,14 +126,16 @@ def title(text: str | None) -> Title:
     derived = ""
     if raw:
         first, two, last = raw[0], " ".join(raw[:2]), " ".join(raw[-2:])
-        if first in DERIVED_FIRST or (len(first) > 6 and first not in STOP and any(near(first, d) for d in DERIVED_FIRST if d[0] == first[0] or d[1] == first[1:2])):
-            derived, raw = next(d for d in DERIVED_FIRST if near(first, d)), raw[1:]
-        elif len(raw) > 3 and (two in DERIVED_FIRST_TWO or (raw[1] in ("on", "to", "of") and len(first) > 4 and any(near(two, d) for d in DERIVED_FIRST_TWO))):
-            derived, raw = next(d for d in DERIVED_FIRST_TWO if near(two, d)), raw[2:]
+        known = _derived_first(first) if len(first) > 6 else ""
+        if known:
+            derived, raw = known, raw[1:]
+        elif len(raw) > 3 and raw[1] in ("on", "to", "of") and _derived_first_two(two):
+            derived, raw = _derived_first_two(two), raw[2:]
         if len(raw) > 3:
-            if last in DERIVED_LAST_TWO or any(abs(len(last) - len(d)) < 3 and last[0] == d[0] and distance(last, d, 2) < 3 for d in DERIVED_LAST_TWO):
-                derived, raw = derived + "|" + min(DERIVED_LAST_TWO, key=lambda d: distance(last, d, 3)), raw[:-2]
-            elif near(raw[-2], "part") and len(raw[-2]) > 2 and (raw[-1] in NUMERALS or raw[-1].isdigit()):
+            if _derived_last_word(raw[-1]):
+                if known := _derived_last_two(last):
+                    derived, raw = derived + "|" + known, raw[:-2]
+            elif (raw[-1] in NUMERALS or raw[-1].isdigit()) and len(raw[-2]) > 2 and near(raw[-2], "part"):
                 derived, raw = derived + "|part" + NUMERALS.get(raw[-1], raw[-1]), raw[:-2]
     words = tuple(_word(w) for w in raw if w not in STOP)
     return Title(words, derived, cut, name if name and words and words[0] == _word(name) else "")
@@ -125,6 +147,7 @@ def _joining(w: str) -> bool:
     return len(w) > 3 and any(len(s) > 2 and s[0] == w[0] and near(w, s) for s in STOP)
 
 
+@lru_cache(100_000)
 def code(word: str) -> int:
     """32 bits of a word's letters without order and repetition, which most slips leave alone."""
     return xxhash.xxh32_intdigest("".join(sorted(set(word))))
