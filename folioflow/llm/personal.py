@@ -43,6 +43,9 @@ _ZERO_WIDTH = "​‌‍⁠﻿­"
 _AT = re.compile(r"(?<=[\w+-])\s?[\[({<]\s?(?:at|ät|arroba|@)\s?[\])}>]\s?(?=\w)|(?<=[\w+-]) (?:at|arroba) (?=[\w-]{1,63}(?: dot | punto | punkt |\s?[\[({]\s?dot\s?[\])}]\s?)\w)", re.I)
 _DOT = re.compile(r"(?<=[\w-])\s?[\[({]\s?(?:dot|punto|punkt|\.)\s?[\])}]\s?(?=\w)|(?<=[\w-]) (?:dot|punto|punkt) (?=\w)", re.I)
 
+_DOT_SIGNS = ("dot", "punto", "punkt", "(.)", "[.]", "{.}")
+_AT_SIGNS = (" dot ", " punto ", " punkt ", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "(@", "[@", "{@", "( @", "[ @", "(ät", "[ät", "arroba", "(dot", "[dot", "{dot", "( dot", "[ dot")
+
 
 class Normal:
     """A text under edits, with the source's place of every character."""
@@ -121,10 +124,13 @@ def normal(text: str) -> Normal:
             if not word.isascii():
                 edits += [(m.start() + i, m.start() + i + 1, _LOOKALIKES[c]) for i, c in enumerate(word) if c in _LOOKALIKES]
         x.edit(edits)
-    for rule, new in ((_AT, "@"), (_DOT, ".")):
-        x.edit([(m.start(), m.end(), new) for m in rule.finditer(x.text)])
+    low = x.text.lower()  # the rules run only where a text has what they need
+    if any(k in low for k in _AT_SIGNS):
+        x.edit([(m.start(), m.end(), "@") for m in _AT.finditer(x.text)])
+    if any(k in low for k in _DOT_SIGNS):
+        x.edit([(m.start(), m.end(), ".") for m in _DOT.finditer(x.text)])
     spelled = []
-    for m in _SPELLED.finditer(x.text):
+    for m in _SPELLED.finditer(x.text) if sum(low.count(w) for w in _DIGITS) >= 4 else ():
         digits = "".join(_DIGITS[d.lower()] * {"double": 2, "triple": 3}.get((t or "").lower(), 1) for t, d in _ONE_SPELLED.findall(m.group()))
         if len(digits) == 10:  # as numbers of ten digits are written
             digits = f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"
@@ -161,6 +167,11 @@ _ID_LABEL = (
 )
 _ID_VALUE = r"[A-Z]{0,6}[ -]?\d(?:[ -]?[0-9A-Z]){3,20}"
 _ID = re.compile(rf"(?<![\w-])(?i:{_ID_LABEL})\s{{0,2}}(?:[:#=]\s{{0,2}}|(?i:is|no\.|nr\.)\s)?({_ID_VALUE})(?![\w-])")
+# A part of every label above.
+_ID_SIGNS = (
+    "ssn", "social sec", "passport", "passeport", "pasaporte", "reisepass", "tax id", "tax n", "tax f", "steuer", "mrn", "medical rec", "patient ", "dni", "cpf", "curp", "bsn", "pesel", "ni n", "nino", "national id", "national ins",
+    "identity card", "id card", "ausweis", "driving", "driver", "insurance", "versichert", "nhs", "permit", "aadhaar", *(w + c for w in ("nie", "nif", "sin", "tin", "itin") for c in " :#="),
+)
 _ID_SHAPE = re.compile(r"(?<![\w.,/-])(?:\d{3}-\d{2}-\d{4}|[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w/-])")
 
 _UP = r"[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĶŁŃŇŐŘŚŞŠŤŪŮŰŹŻŽ]"
@@ -253,7 +264,8 @@ def finds(text: str | None) -> list[Find]:
         add(0, *m.span())
     for m in _ADDRESS.finditer(t):
         add(1, *m.span())
-    for m in _ID.finditer(t):
+    low = t.lower()
+    for m in _ID.finditer(t) if any(k in low for k in _ID_SIGNS) else ():
         if sum(c.isdigit() for c in m.group(1)) >= 5:
             add(2, *m.span(1))
     for m in _ID_SHAPE.finditer(t):
