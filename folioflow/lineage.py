@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps now, not at the driver's next collection.
+
+    For loops whose every step ends in a checkpoint or a written table: Spark
+    removes a step's files when the driver collects the objects that stand for them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
