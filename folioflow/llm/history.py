@@ -229,9 +229,11 @@ def sure_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 class WorkIndex:
     """The accepted works: their keys, in folders by hash, and the first record of each.
 
-    path: a folder on shared storage. Two tables: keys (bucket, kind, key, id,
-    signature), of accepted records, and works (id, first, title) of all
-    records that came in. ingest() may be called any number of times.
+    path: a folder on shared storage. Three tables: keys (bucket, kind, key, id,
+    signature), of accepted records, works (id, first, title) of all records that
+    came in, first as it was known then, and joined (id, first) of firsts whose
+    work a later row joined to an older one. ingest() may be called any number of
+    times.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, hot: int = HOT):
@@ -247,6 +249,20 @@ class WorkIndex:
     def works(self) -> DataFrame:
         return self.spark.read.schema("id long, first long, title string").parquet(f"{self.path}/works")
 
+    def joined(self) -> DataFrame:
+        """id and first of the works that a later row joined to an older one."""
+        return self.spark.read.schema("id long, first long").parquet(f"{self.path}/joined").groupBy("id").agg(F.min("first").alias("first"))
+
+    def latest(self, found: DataFrame) -> DataFrame:
+        """The results of all calls of ingest() by what is known now, the same for any cut into calls.
+
+        A row that belongs to two works makes them one: the later work's rows, its
+        first among them, get the first of the older.
+        """
+        moved = self.joined()
+        now = found.join(moved.select(F.col("id").alias("first"), F.col("first").alias("now")), "first", "left")
+        return now.select("id", F.coalesce("now", "first").alias("first")).unionByName(moved)
+
     def _hot_links(self, rows: DataFrame, parts: int, share: int = 64) -> tuple[DataFrame | None, DataFrame]:
         """Links found within splits of keys that very many rows have, and the rows that go on.
 
@@ -313,8 +329,14 @@ class WorkIndex:
         if self.filled:  # an accepted record stands for its work's first
             roots = self.works().where("id <> first").select(F.col("id").alias("earlier"), "first")
             links = links.join(roots, "earlier", "left").select("later", F.coalesce("first", "earlier").alias("earlier"))
+            links = links.unionByName(self.joined().select(F.col("id").alias("later"), F.col("first").alias("earlier")))
         found = components(links, "later", "earlier")
         mates = cut(named.select("id").join(found.select(F.col("node").alias("id"), F.col("root").alias("first")), "id").where("id <> first"))
+        moved = self.spark.createDataFrame([], "id long, first long")
+        if self.filled:
+            moved = found.where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("first"))
+            moved = cut(moved.join(self.works().where("id = first").select("id"), "id", "left_semi").join(self.joined(), ["id", "first"], "left_anti"))
+        moved.write.mode("append").parquet(f"{self.path}/joined")
 
         # Only records of new spellings or addresses bring new keys.
         fresh = ours.unionByName(brought.select("kind", "key", "id", "signature"))

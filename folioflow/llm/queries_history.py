@@ -11,7 +11,7 @@ from folioflow.lineage import scratch
 from folioflow.llm.history import WorkIndex
 from folioflow.tables import table
 
-#: How many arrival batches one call of ingest() takes: the batches of a fortnight.
+#: How many arrival batches one call of ingest() takes: the batches of a fortnight. The result is the same for any number.
 BATCHES_A_CALL = 14
 
 
@@ -23,7 +23,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     for at in range(lowest or 0, (highest or 0) + 1, BATCHES_A_CALL):
         came = papers.where(F.col("batch_no").between(at, at + BATCHES_A_CALL - 1))
         found.append(index.ingest(came, "paper_id", "title", "url"))
-    return reduce(DataFrame.unionByName, found).select(F.col("first").alias("first_paper_id"), F.col("id").alias("paper_id"))
+    return index.latest(reduce(DataFrame.unionByName, found)).select(F.col("first").alias("first_paper_id"), F.col("id").alias("paper_id"))
 
 
 QUERIES = {"p4_found": p4_found}

@@ -1,4 +1,7 @@
 import random
+from functools import reduce
+
+from pyspark.sql import DataFrame
 
 from folioflow.lineage import scratch
 from folioflow.llm.components import components
@@ -111,3 +114,20 @@ def test_components_against_brute_force(spark):
             root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_works_joined_by_a_later_row_keep_the_smallest_first(spark):
+    other = "Tense Flow Pruning for Fully Blind Motif Planning in Remote Arctic Protein Grids"
+    third = "Calm Tree Folding for Partly Noisy Valve Mapping in Coastal Desert Traffic Meshes"
+    u, v, w = ("https://arxive.example/abs/1501.0000%d" % k for k in (1, 2, 3))
+    rows = [(1, third, w), (2, BASE, u), (3, other, v), (4, BASE, v), (5, other, None), (6, third, u), (7, other, None), (8, None, v)]
+    schema = "id long, title string, url string"
+    want = [(i, 1) for i in range(2, 9)]
+    for cuts in ([8], [3, 4, 6, 8]):
+        path, found = scratch(spark, "t"), []
+        for lo, hi in zip([0, *cuts], cuts):
+            index = WorkIndex(spark, path, 4)
+            found.append(index.ingest(spark.createDataFrame(rows[lo:hi], schema), "id", "title", "url"))
+        assert rows_of(index.latest(reduce(DataFrame.unionByName, found))) == want
+        if len(cuts) == 4:  # each call tells the first as it is known by then
+            assert [rows_of(f) for f in found] == [[], [(4, 2)], [(5, 1), (6, 1)], [(7, 1), (8, 1)]]
