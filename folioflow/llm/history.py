@@ -33,9 +33,11 @@ BANDS, ROWS = 20, 5
 #: Titles of fewer words are headings that many works bear; only their addresses count.
 LEAST_WORDS = 5
 #: Share of signature words that a candidate has in common; the words decide afterwards.
-LIKELY, ALIKE = 0.5, 0.8
-#: Different sets of words in one key from which on it is a crowd; rows of a key from which on it is split.
-LARGE, HOT = 3000, 100_000
+LIKELY = 0.5
+#: Different sets of words in one key from which on bit maps compare them; rows of a key from which on it is split.
+LARGE, HOT = 64, 100_000
+#: Links of a task that are written at once.
+PORTION = 100_000
 BUCKETS = 64
 ADDRESS, EXACT, BAND = 0, 1, 2
 
@@ -134,37 +136,36 @@ def _links_in_band(ids: list[int], signatures: list[bytes], new: list[bool]) ->
     """(later, earlier) pairs of one key's records in the order of their ids that may be one work.
 
     Records with the same words are linked with the first of them, which alone
-    is compared with others. A key with more than LARGE different sets of words
-    is that of a crowd of near copies: there a set that is alike with the first
-    of a crowd is linked with it and not with the others that are.
+    is compared with others. All others are compared with each other, from LARGE
+    different sets of words on by bit maps.
     """
-    firsts: dict[bytes, tuple[int, frozenset[int]]] = {}
-    heads: list[tuple[int, frozenset[int]]] = []
+    firsts: dict[bytes, int] = {}
+    alone: list[int] = []
     for i, s in enumerate(signatures):
-        known = firsts.get(s)
-        if known is not None:
-            j = known[0]
-            if ids[i] != ids[j] and (new[i] or new[j]):
-                yield ids[i], ids[j]
-            continue
-        w = frozenset(s[:-1])
-        alike = False
-        for j, other in heads if len(firsts) > LARGE else firsts.values():
-            if new[i] or new[j]:
-                both = len(w & other)
-                share = both / (len(w) + len(other) - both)
-                if share >= LIKELY and ids[i] != ids[j]:
-                    yield ids[i], ids[j]
-                alike = alike or share >= ALIKE
-        if len(firsts) > LARGE and not alike:
-            for j, other in firsts.values():
-                if new[i] or new[j]:
+        j = firsts.setdefault(s, i)
+        if i == j:
+            alone.append(i)
+        elif ids[i] != ids[j] and (new[i] or new[j]):
+            yield ids[i], ids[j]
+    if len(alone) <= LARGE:
+        sets = [(i, frozenset(signatures[i][:-1])) for i in alone]
+        for k, (i, w) in enumerate(sets):
+            for j, other in sets[:k]:
+                if (new[i] or new[j]) and ids[i] != ids[j]:
                     both = len(w & other)
-                    if both / (len(w) + len(other) - both) >= LIKELY and ids[i] != ids[j]:
+                    if both >= LIKELY * (len(w) + len(other) - both):
                         yield ids[i], ids[j]
-        if not alike:
-            heads.append((i, w))
-        firsts[s] = (i, w)
+        return
+    words = [np.frombuffer(signatures[i][:-1], np.uint8) for i in alone]
+    bits = np.zeros((len(alone), 256), bool)
+    bits[np.repeat(np.arange(len(alone)), [len(w) for w in words]), np.concatenate(words)] = True
+    size, maps = bits.sum(axis=1), np.packbits(bits, axis=1).view(np.uint64)
+    fresh = np.array([bool(new[i]) for i in alone])
+    for k, i in enumerate(alone):
+        both = np.bitwise_count(maps[:k] & maps[k]).sum(axis=1, dtype=np.int64)
+        for j in np.flatnonzero((both >= LIKELY * (size[:k] + size[k] - both)) & (fresh[:k] | fresh[k])).tolist():
+            if ids[i] != ids[alone[j]]:
+                yield ids[i], ids[alone[j]]
 
 
 def band_links(rows: DataFrame, parts: int) -> DataFrame:
@@ -173,7 +174,10 @@ def band_links(rows: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def groups(t: pa.Table) -> pa.RecordBatch:
+        def portion(later: list[int], earlier: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(later, pa.int64()), pa.array(earlier, pa.int64())], names=["later", "earlier"])
+
+        def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key = t.column("key").to_numpy()
             same = key[1:] == key[:-1]
             member = np.zeros(len(key), bool)
@@ -192,7 +196,10 @@ def band_links(rows: DataFrame, parts: int) -> DataFrame:
                         for x, y in _links_in_band(ids[lo:hi], signatures[lo:hi], new[lo:hi]):
                             later.append(max(x, y))
                             earlier.append(min(x, y))
-            return pa.RecordBatch.from_arrays([pa.array(later, pa.int64()), pa.array(earlier, pa.int64())], names=["later", "earlier"])
+                            if len(later) >= PORTION:
+                                yield portion(later, earlier)
+                                later, earlier = [], []
+            yield portion(later, earlier)
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -202,10 +209,10 @@ def band_links(rows: DataFrame, parts: int) -> DataFrame:
                 continue
             whole = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if whole:
-                yield groups(t.slice(0, whole))
+                yield from groups(t.slice(0, whole))
             rest = t.slice(whole).combine_chunks()
         if rest is not None and rest.num_rows:
-            yield groups(rest)
+            yield from groups(rest)
 
     ready = rows.select("key", "id", "signature", "new").repartition(parts, "key").sortWithinPartitions("key", "id")
     return ready.mapInArrow(run, "later long, earlier long").distinct()

@@ -131,3 +131,17 @@ def test_works_joined_by_a_later_row_keep_the_smallest_first(spark):
         assert rows_of(index.latest(reduce(DataFrame.unionByName, found))) == want
         if len(cuts) == 4:  # each call tells the first as it is known by then
             assert [rows_of(f) for f in found] == [[], [(4, 2)], [(5, 1), (6, 1)], [(7, 1), (8, 1)]]
+
+
+def test_crowds_compare_all_their_records(monkeypatch):
+    import folioflow.llm.history as h
+
+    rng = random.Random(9)
+    words = [sorted({*range(9), *rng.sample(range(20, 250), 2)}) for _ in range(80)]
+    signatures = [bytes(w) + bytes([i]) for i, w in enumerate(words)]
+    new = [i % 3 > 0 for i in range(80)]
+    want = {(i, j) for i in range(80) for j in range(i) if (new[i] or new[j]) and len({*words[i]} & {*words[j]}) / len({*words[i]} | {*words[j]}) >= h.LIKELY}
+    for large in (5, 1000):
+        monkeypatch.setattr(h, "LARGE", large)
+        got = list(_links_in_band(list(range(80)), signatures, new))
+        assert len(got) == len(want) and set(got) == want
