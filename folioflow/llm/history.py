@@ -8,10 +8,10 @@ compares what shares a key, and then appends the keys of the records it brought
 in. History is never rehashed, and folders without a key of the batch are never
 opened.
 
-Exact copies are folded by grouped minima before anything is compared, so a
-group of copies of any size leaves one record to be compared. Records that share
-a band are compared by their sets of words, each set once. Keys that very many
-rows have are split first, so that no task gets them whole.
+Titles with the same words in any order are folded by grouped minima before
+anything is compared, so a group of copies of any size leaves one record to be
+compared. All records left that share a band are compared with each other. Keys
+that very many rows have are split first, so that no task gets them whole.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ BANDS, ROWS = 20, 5
 LEAST_WORDS = 5
 #: Share of signature words that a candidate has in common; the words decide afterwards.
 LIKELY = 0.5
-#: Different sets of words in one key from which on bit maps compare them; rows of a key from which on it is split.
+#: Records of one key from which on bit maps compare them; rows of a key from which on it is split.
 LARGE, HOT = 64, 100_000
 #: Links of a task that are written at once.
 PORTION = 100_000
@@ -90,9 +90,13 @@ def _hash(text: str) -> int:
 
 
 def _signature(codes: list[int]) -> bytes:
-    """A byte of each word's code, enough to choose candidates by, and one of all codes, to tell equal words from alike ones."""
-    whole = np.array(sorted(codes), np.uint32)
-    return bytes(sorted(set(whole.astype(np.uint8).tolist()))) + bytes([xxhash.xxh32_intdigest(whole.tobytes()) & 0xFF])
+    """A byte of each word's code: enough to choose candidates by, not to tell equal words from alike ones."""
+    return bytes(sorted({c & 0xFF for c in codes}))
+
+
+def _whole(t: Title) -> int:
+    """64 bits of all that same_words() looks at, in any order of the words: titles with the same are one work."""
+    return _hash("|".join((t.derived, t.name, "cut" if t.cut else "", " ".join(sorted(t.words)))))
 
 
 def profiles(df: DataFrame, id_col: str, title_col: str, url_col: str | None) -> DataFrame:
@@ -113,7 +117,7 @@ def profiles(df: DataFrame, id_col: str, title_col: str, url_col: str | None) ->
                 keys = band_keys(np.concatenate([np.array(c, np.uint64) for c in codes]), starts, salt).view(np.int64)
                 for j, i in enumerate(told):
                     t = titles[i]
-                    whole[i] = np.uint64(_hash(t.derived + "|" + " ".join(t.words))).view(np.int64)
+                    whole[i] = np.uint64(_whole(t)).view(np.int64)
                     bands[i] = keys[j]
                     signatures[i] = _signature(codes[j])
             yield pa.RecordBatch.from_arrays(
@@ -135,37 +139,28 @@ def profiles(df: DataFrame, id_col: str, title_col: str, url_col: str | None) ->
 def _links_in_band(ids: list[int], signatures: list[bytes], new: list[bool]) -> Iterator[tuple[int, int]]:
     """(later, earlier) pairs of one key's records in the order of their ids that may be one work.
 
-    Records with the same words are linked with the first of them, which alone
-    is compared with others. All others are compared with each other, from LARGE
-    different sets of words on by bit maps.
+    Titles with the same words in any order were folded before. All that are left
+    are compared with each other, also those of one signature, as other words may
+    have it too; from LARGE records on by bit maps.
     """
-    firsts: dict[bytes, int] = {}
-    alone: list[int] = []
-    for i, s in enumerate(signatures):
-        j = firsts.setdefault(s, i)
-        if i == j:
-            alone.append(i)
-        elif ids[i] != ids[j] and (new[i] or new[j]):
-            yield ids[i], ids[j]
-    if len(alone) <= LARGE:
-        sets = [(i, frozenset(signatures[i][:-1])) for i in alone]
-        for k, (i, w) in enumerate(sets):
-            for j, other in sets[:k]:
+    if len(ids) <= LARGE:
+        sets = [frozenset(s) for s in signatures]
+        for i, w in enumerate(sets):
+            for j, other in enumerate(sets[:i]):
                 if (new[i] or new[j]) and ids[i] != ids[j]:
                     both = len(w & other)
                     if both >= LIKELY * (len(w) + len(other) - both):
                         yield ids[i], ids[j]
         return
-    words = [np.frombuffer(signatures[i][:-1], np.uint8) for i in alone]
-    bits = np.zeros((len(alone), 256), bool)
-    bits[np.repeat(np.arange(len(alone)), [len(w) for w in words]), np.concatenate(words)] = True
-    size, maps = bits.sum(axis=1), np.packbits(bits, axis=1).view(np.uint64)
-    fresh = np.array([bool(new[i]) for i in alone])
-    for k, i in enumerate(alone):
-        both = np.bitwise_count(maps[:k] & maps[k]).sum(axis=1, dtype=np.int64)
-        for j in np.flatnonzero((both >= LIKELY * (size[:k] + size[k] - both)) & (fresh[:k] | fresh[k])).tolist():
-            if ids[i] != ids[alone[j]]:
-                yield ids[i], ids[alone[j]]
+    words = [np.frombuffer(s, np.uint8) for s in signatures]
+    bits = np.zeros((len(ids), 256), bool)
+    bits[np.repeat(np.arange(len(ids)), [len(w) for w in words]), np.concatenate(words)] = True
+    size, maps, fresh = bits.sum(axis=1), np.packbits(bits, axis=1).view(np.uint64), np.array(new, bool)
+    for i in range(len(ids)):
+        both = np.bitwise_count(maps[:i] & maps[i]).sum(axis=1, dtype=np.int64)
+        for j in np.flatnonzero((both >= LIKELY * (size[:i] + size[i] - both)) & (fresh[:i] | fresh[i])).tolist():
+            if ids[i] != ids[j]:
+                yield ids[i], ids[j]
 
 
 def band_links(rows: DataFrame, parts: int) -> DataFrame:
@@ -270,25 +265,20 @@ class WorkIndex:
         now = found.join(moved.select(F.col("id").alias("first"), F.col("first").alias("now")), "first", "left")
         return now.select("id", F.coalesce("now", "first").alias("first")).unionByName(moved)
 
-    def _hot_links(self, rows: DataFrame, parts: int, share: int = 64) -> tuple[DataFrame | None, DataFrame]:
-        """Links found within splits of keys that very many rows have, and the rows that go on.
+    def _split(self, rows: DataFrame, share: int = 64) -> DataFrame:
+        """rows, with keys that very many rows have split so that no task gets the crowd.
 
-        A row that has the words of an earlier row of its split is linked with it
-        and goes no further with this key, so that one task never gets the crowd.
-        Hot keys are looked for among the rows of every 64th id, which decides
-        only where splits are made, not what is found.
+        The crowd is dealt into splits and each two splits get a key of their own,
+        so any two rows still meet. Hot keys are looked for among the rows of every
+        64th id, which decides only where splits are made, not what is found.
         """
-        drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).groupBy("key").count().where(F.col("count") > self.hot / share).select("key")
-        hot = cut(drawn)
+        drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).groupBy("key").count().where(F.col("count") > self.hot / share)
+        hot = cut(drawn.select("key", F.ceil(2 * share * F.col("count") / self.hot).cast("int").alias("splits")))
         if hot.isEmpty():
-            return None, rows
-        crowd = rows.join(hot, "key", "left_semi")
-        split = crowd.withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(share))))
-        first = cut(split.groupBy("key", "signature").agg(F.min("id").alias("first"), F.max("new").alias("any_new")))
-        linked = split.join(first, ["key", "signature"]).where("id <> first").select(F.col("id").alias("later"), F.col("first").alias("earlier"), "new", "any_new")
-        heads = first.select(F.col("first").alias("id")).distinct()
-        goes_on = crowd.join(heads, "id", "left_semi").unionByName(rows.join(hot, "key", "left_anti"))
-        return linked.where("new or any_new").select("later", "earlier"), goes_on
+            return rows
+        dealt = rows.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("splits"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+        crowd = dealt.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select(*rows.columns)
+        return crowd.unionByName(rows.join(hot, "key", "left_anti").select(*rows.columns))
 
     def ingest(self, batch: DataFrame, id_col: str, title_col: str, url_col: str) -> DataFrame:
         """Add a batch; id and first of each of its rows that repeats an earlier row.
@@ -325,9 +315,7 @@ class WorkIndex:
             links = links.unionByName(ours.join(seen, ["kind", "key"]).select(F.col("id").alias("later"), F.col("old").alias("earlier")))
             mine = mine.unionByName(stored.where(F.col("kind") == BAND).select("kind", "key", "id", "signature", F.lit(False).alias("new")))
             texts = named.unionByName(self.works().select("id", "title"))
-        likely, mine = self._hot_links(mine, parts)
-        rest = band_links(mine, parts)
-        likely = rest if likely is None else likely.unionByName(rest).distinct()
+        likely = band_links(self._split(mine), parts)
         if self.filled:
             likely = cut(likely)
             wanted = likely.select(F.col("earlier").alias("id")).distinct()
