@@ -43,8 +43,9 @@ _ZERO_WIDTH = "​‌‍⁠﻿­"
 _AT = re.compile(r"(?<=[\w+-])\s?[\[({<]\s?(?:at|ät|arroba|@)\s?[\])}>]\s?(?=\w)|(?<=[\w+-]) (?:at|arroba) (?=[\w-]{1,63}(?: dot | punto | punkt |\s?[\[({]\s?dot\s?[\])}]\s?)\w)", re.I)
 _DOT = re.compile(r"(?<=[\w-])\s?[\[({]\s?(?:dot|punto|punkt|\.)\s?[\])}]\s?(?=\w)|(?<=[\w-]) (?:dot|punto|punkt) (?=\w)", re.I)
 
-_DOT_SIGNS = ("dot", "punto", "punkt", "(.)", "[.]", "{.}")
-_AT_SIGNS = (" dot ", " punto ", " punkt ", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "(@", "[@", "{@", "( @", "[ @", "(ät", "[ät", "arroba", "(dot", "[dot", "{dot", "( dot", "[ dot")
+# What every match of the rule above has in it, so that a text without it is passed by.
+_AT_GATE = re.compile(r"[\[({<]\s?(?:at|ät|arroba|@)| (?:dot|punto|punkt) |[\[({]\s?dot", re.I)
+_DOT_GATE = re.compile(r"[\[({]\s?(?:dot|punto|punkt|\.)| (?:dot|punto|punkt) ", re.I)
 
 
 class Normal:
@@ -125,9 +126,9 @@ def normal(text: str) -> Normal:
                 edits += [(m.start() + i, m.start() + i + 1, _LOOKALIKES[c]) for i, c in enumerate(word) if c in _LOOKALIKES]
         x.edit(edits)
     low = x.text.lower()  # the rules run only where a text has what they need
-    if any(k in low for k in _AT_SIGNS):
+    if _AT_GATE.search(x.text):
         x.edit([(m.start(), m.end(), "@") for m in _AT.finditer(x.text)])
-    if any(k in low for k in _DOT_SIGNS):
+    if _DOT_GATE.search(x.text):
         x.edit([(m.start(), m.end(), ".") for m in _DOT.finditer(x.text)])
     spelled = []
     for m in _SPELLED.finditer(x.text) if sum(low.count(w) for w in _DIGITS) >= 4 else ():
@@ -167,11 +168,22 @@ _ID_LABEL = (
 )
 _ID_VALUE = r"[A-Z]{0,6}[ -]?\d(?:[ -]?[0-9A-Z]){3,20}"
 _ID = re.compile(rf"(?<![\w-])(?i:{_ID_LABEL})\s{{0,2}}(?:[:#=]\s{{0,2}}|(?i:is|no\.|nr\.)\s)?({_ID_VALUE})(?![\w-])")
-# A part of every label above.
+# A part of every label above but the short ones, which are parts of common words: these begin a word and a value, mark or blank follows.
 _ID_SIGNS = (
     "ssn", "social sec", "passport", "passeport", "pasaporte", "reisepass", "tax id", "tax n", "tax f", "steuer", "mrn", "medical rec", "patient ", "dni", "cpf", "curp", "bsn", "pesel", "ni n", "nino", "national id", "national ins",
-    "identity card", "id card", "ausweis", "driving", "driver", "insurance", "versichert", "nhs", "permit", "aadhaar", *(w + c for w in ("nie", "nif", "sin", "tin", "itin") for c in " :#="),
+    "identity card", "id card", "ausweis", "driving", "driver", "insurance", "versichert", "nhs", "permit", "aadhaar",
 )
+_SHORT_LABEL = re.compile(r"(?<![\w-])(?i:nie|nif|sin|i?tin)(?:[\s:#=\-\dA-Z]|(?i:is|no\.|nr\.))")
+# Letters that a rule without regard to case takes for Latin ones, but lower() doesn't.
+_CASELESS = str.maketrans({"ſ": "s", "ı": "i", "İ": "i", "\u212a": "k"})
+
+
+def _may_have_id(text: str) -> bool:
+    """Whether a label of an identity number may be in the text."""
+    low = (text if text.isascii() else text.translate(_CASELESS)).lower()
+    return any(k in low for k in _ID_SIGNS) or _SHORT_LABEL.search(text) is not None
+
+
 _ID_SHAPE = re.compile(r"(?<![\w.,/-])(?:\d{3}-\d{2}-\d{4}|[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w/-])")
 
 _UP = r"[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĶŁŃŇŐŘŚŞŠŤŪŮŰŹŻŽ]"
@@ -264,8 +276,7 @@ def finds(text: str | None) -> list[Find]:
         add(0, *m.span())
     for m in _ADDRESS.finditer(t):
         add(1, *m.span())
-    low = t.lower()
-    for m in _ID.finditer(t) if any(k in low for k in _ID_SIGNS) else ():
+    for m in _ID.finditer(t) if _may_have_id(t) else ():
         if sum(c.isdigit() for c in m.group(1)) >= 5:
             add(2, *m.span(1))
     for m in _ID_SHAPE.finditer(t):

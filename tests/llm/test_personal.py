@@ -67,3 +67,19 @@ def test_operators(spark):
     rows = redact(df, "text").orderBy("id").collect()
     assert [r.redacted for r in rows if r.id != 1] == [None, ""] and rows[0].kind == "k" and len(rows) == 4
     assert find_personal(df.limit(0), "id", "text").count() == 0
+
+
+@pytest.mark.parametrize("at", [o + b + w + b + c for o, c in ("[]", "()", "{}", "<>") for b in ("", " ", "\t", "\n") for w in ("at", "AT", "ät", "arroba", "@")])
+def test_every_written_at_is_found(at):
+    assert [k for k, _ in got(f"jane{at}site.org")] == ["email"]
+
+
+@pytest.mark.parametrize("dot", [o + b + w + b + c for o, c in ("[]", "()", "{}") for b in ("", " ", "\t", "\n") for w in ("dot", "Punto", "punkt", ".")] + [" dot ", " PUNKT "])
+def test_every_written_dot_is_found(dot):
+    assert got(f"jane@site{dot}org") == [("email", f"jane@site{dot}org")]
+
+
+@pytest.mark.parametrize("label", ["SIN", "TIN", "ITIN", "NIE", "NIF", "tin", "Sin"])
+@pytest.mark.parametrize("between", [" ", "\n", "\t", "-", "", ":", ": ", "#", "=", " is ", "  no. ", " nr. "])
+def test_every_short_label_is_found(label, between):
+    assert got(f"kept {label}{between}046454286.") in ([("id_number", "046454286")], [("id_number", "-046454286")])
