@@ -207,9 +207,8 @@ def features(title: str | None, prompt: str | None, response: str, known: frozen
         out.append("few words")
     if lexical:
         out += ["end " + last, "ends " + two] if not ends else ["closed " + last]
-        head = low[:24]
-        out += ["w " + w for w in head]
-        out += [f"b {x} {y}" for x, y in zip(head, head[1:])]
+        out += ["w " + w for w in low]
+        out += [f"b {x} {y}" for x, y in zip(low, low[1:])]
         out += ["first " + low[0] if low else "first", "start " + " ".join(low[:2]), "begin " + " ".join(low[:3])]
     return [_hash(f) for f in set(out)]
 

@@ -60,3 +60,11 @@ def test_edge_cases(spark, model):
 def test_query(spark, sf_dir):
     got = p1_found(spark, sf_dir).collect()
     assert {r.defect for r in got} <= set(LABELS)
+
+
+def test_all_words_of_a_response_are_features():
+    from folioflow.llm.defects import features
+
+    topic = " ".join(f"word{i}" for i in range(40))
+    one, two = (set(features(None, None, f"{topic} {said} at all.", known=frozenset())) for said in ("nothing was provided", "results were printed"))
+    assert len(one - two) >= 4 and len(two - one) >= 4
