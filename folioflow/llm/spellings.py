@@ -275,11 +275,22 @@ def merge_persons(block: list[Profile]) -> Iterator[tuple[int, int]]:
             for i in p.initials:
                 plain.setdefault((f, _initials(i)[0]), []).append(p)
     for group in plain.values():
-        group.sort(key=lambda p: p.root)
-        for p, q in zip(group, group[1:]):
-            firsts = [x for x in around(p) if short_match(p, x) > 1]
-            if not firsts and not (p.middles and q.middles and not p.middles & q.middles):
-                yield p.root, q.root
+        group = [p for p in sorted(group, key=lambda p: p.root) if not any(short_match(p, x) > 1 for x in around(p))]
+        # Those that share a middle initial are one; those without any join them where there is one such set.
+        classes: list[tuple[set[str], Profile]] = []
+        bare: Profile | None = None
+        for p in group:
+            if not p.middles:
+                if bare is not None:
+                    yield bare.root, p.root
+                bare = p
+                continue
+            meet = [c for c in classes if c[0] & p.middles]
+            for _, q in meet:
+                yield q.root, p.root
+            classes = [c for c in classes if c not in meet] + [(set(p.middles).union(*(c[0] for c in meet)), p)]
+        if bare is not None and len(classes) == 1:
+            yield classes[0][1].root, bare.root
 
 
 def merge_organisations(block: list[tuple[int, list[frozenset[str]]]]) -> Iterator[tuple[int, int]]:

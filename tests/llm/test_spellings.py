@@ -53,3 +53,23 @@ def test_query(spark, sf_dir):
     got = p3_found(spark, sf_dir)
     assert got.columns == ["kind", "name_a", "name_b"] and got.where("name_a >= name_b").count() == 0
     assert got.count() == got.distinct().count() > 0
+
+
+def test_initials_between_conflicting_ones_are_linked():
+    from itertools import permutations
+
+    from folioflow.llm.spellings import Person, merge_persons, person_profile
+
+    def groups(givens):
+        block = [person_profile(i, [(Person("moberullano", g, ()), 1)]) for i, g in enumerate(givens)]
+        root = list(range(len(givens)))
+        for a, b in merge_persons(block):
+            root = [root[a] if r == root[b] else r for r in root]
+        return {frozenset(i for i in range(len(givens)) if root[i] == r) for r in root}
+
+    for order in permutations([("z", "m"), ("z", "c"), ("z", "m"), ("z", "c")]):
+        assert groups(order) == {frozenset(i for i, g in enumerate(order) if g[1] == m) for m in "mc"}
+    for order in permutations([("z", "m"), ("z", "m"), ("z",)]):
+        assert groups(order) == {frozenset(range(3))}
+    for order in permutations([("z", "m"), ("z", "c"), ("z",)]):
+        assert groups(order) == {frozenset([i]) for i in range(3)}
