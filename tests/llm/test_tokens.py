@@ -5,35 +5,62 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm.queries_tokens import QUERIES
-from folioflow.llm.tokens import PATTERN, MergeAutomaton, decode_ids, encode_corpus, encoder, read_ranks, token_count, vocabulary_path
+from folioflow.llm.tokens import PATTERN, MergeAutomaton, decode_ids, encode_corpus, encoder, merged, read_ranks, rules, token_count, vocabulary_path
 
 PATH = vocabulary_path()
 pytestmark = pytest.mark.skipif(not Path(PATH).exists(), reason="no vocabulary file")
 
 
-def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The definition: merge the pair of lowest rank, the leftmost first, until none is left."""
-    parts = [bytes([b]) for b in word]
-    while True:
-        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
-        if not found:
-            return [ranks[p] for p in parts]
-        i = min(found)[1]
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-
-
-def test_automaton_against_definition_on_a_toy_vocabulary():
-    rng = random.Random(3)
-    ranks = {bytes([b]): b for b in b"abc"}
-    ranks = {t: i for i, t in enumerate(ranks)}
-    while len(ranks) < 40:
-        a, b = rng.choice(list(ranks)), rng.choice(list(ranks))
-        if len(merged(a + b, ranks)) == 2:
-            ranks[a + b] = len(ranks)
+def toy(seed: int, size: int = 60) -> dict[bytes, int]:
+    """A random vocabulary over three letters, in which each token is made by a single merge."""
+    rng = random.Random(seed)
+    ranks = {bytes([b]): i for i, b in enumerate(b"abc")}
+    while len(ranks) < size:
+        token = rng.choice(list(ranks)) + rng.choice(list(ranks))
+        if token not in ranks and len(merged(token, ranks, 1 << 30)) == 2:
+            ranks[token] = len(ranks)
+    return ranks
+
+
+def gadgets(ranks: dict[bytes, int]) -> dict[int, set[int]]:
+    """The arcs of every state, laid out at once by the three steps of each gadget."""
+    single = [i for b, i in ranks.items() if len(b) == 1]
+    arcs = {s: set(single) for s in single}
+    for u, v, w in rules(ranks):
+        copy = set(arcs[v])
+        arcs[u].discard(v)
+        arcs[w] = copy
+        for s in arcs:
+            if u in arcs[s]:
+                arcs[s].add(w)
+    return arcs
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_table_has_the_arcs_that_the_gadgets_make(seed):
+    ranks = toy(seed)
+    table, arcs = MergeAutomaton(ranks), gadgets(ranks)
+    assert {(s, t) for s in arcs for t in arcs if table.arc(s, t)} == {(s, t) for s, ts in arcs.items() for t in ts}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_automaton_against_definition_on_a_toy_vocabulary(seed):
+    rng, ranks = random.Random(seed), toy(seed, 40)
     automaton = MergeAutomaton(ranks)
-    for _ in range(2000):
+    for _ in range(700):
         word = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 25)))
-        assert automaton.encode_bytes(word) == merged(word, ranks)
+        assert automaton.encode_bytes(word) == [ranks[p] for p in merged(word, ranks, 1 << 30)]
+    with pytest.raises(ValueError):
+        automaton.encode_bytes(b"abd")
+
+
+def test_table_is_bounded_and_does_not_grow_with_use():
+    a = encoder(PATH).automaton
+    assert len(a.row) == len(a.labels) and len(set(a.row.values())) < len(a.row) and len(a.bounds) < 20 * len(a.row)
+    before = (len(a.bounds), len(a.row), len(a.go))
+    for t in ("zq" * 5000, "Unheard-of wordings, 1234567!"):
+        encoder(PATH).encode(t)
+    assert (len(a.bounds), len(a.row), len(a.go)) == before
 
 
 def test_encoder_against_the_public_library():
