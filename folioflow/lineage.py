@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir.
+    """The folder that all executors share: the session's spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Only where the session sets none (tests, a laptop) a temporary folder of
-    this machine is taken, and set as the checkpoint folder of the context.
+    Where neither is set, a session in a single process (tests, a laptop) gets a
+    temporary folder; on a cluster an error says so, as a folder of one machine
+    would be lost with it and not seen by the others.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named is None and sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc._jsc.sc().getCheckpointDir().get()
     if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="folioflow-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
@@ -44,11 +49,25 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps now, not at the driver's next collection.
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries inside remove their shuffle files when they end, as all that is read again is written to tables."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    For loops whose every step ends in a checkpoint or a written table: Spark
-    removes a step's files when the driver collects the objects that stand for them.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, for listing, renaming and removing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all that is in it, if it is there."""
+    files, at = hadoop(spark, path)
+    files.delete(at, True)
