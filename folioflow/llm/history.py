@@ -3,10 +3,17 @@
 An index on shared storage keeps, for every accepted record, a few keys: bands
 of a minwise signature over the words of its title, its whole title and its
 address. Every key is stored with the record's signature words, in a folder
-named by the key's hash. A batch reads only the folders its own keys fall into,
-compares what shares a key, and then appends the keys of the records it brought
-in. History is never rehashed, and folders without a key of the batch are never
-opened.
+named by the key's hash; the number of folders grows with what is stored, so a
+folder stays as large as it is. A batch reads only the folders its own keys fall
+into, of them only keys that a bit map of its own keys may have, compares what
+shares a key, verifies it by the titles (which are in folders by the hash of the
+record's id), and then appends the keys of the records it brought in.
+
+What a batch appends is a segment of its own. Segments are merged in tiers, FAN
+of one tier into one of the next, so their number and the times a key is written
+again grow with the logarithm of history only. A batch counts when its list of
+segments is put in place, in one step; what a broken run left behind is never
+read, and a batch that is handed in again under its name gives what it gave.
 
 Titles with the same words in any order are folded by grouped minima before
 anything is compared, so a group of copies of any size leaves one record to be
@@ -16,16 +23,19 @@ that very many rows have are split first, so that no task gets them whole.
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.lineage import cut, release
+from folioflow.lineage import cut, hadoop, remove, scratch, tidy
 from folioflow.llm.components import components
 from folioflow.llm.titles import Title, code, same_words, title
 
@@ -38,7 +48,10 @@ LIKELY = 0.5
 LARGE, HOT = 64, 100_000
 #: Links of a task that are written at once.
 PORTION = 100_000
-BUCKETS = 64
+#: Keys of one folder, and titles of one; segments of a tier that are merged into one of the next.
+BUCKET_ROWS, FAN = 1_000_000, 8
+#: Low bits of a hash that choose a word of the bit map and name the folder; the map has 64 bits a word, 8 million in all.
+WORD_BITS = 17
 ADDRESS, EXACT, BAND = 0, 1, 2
 
 _rng = np.random.default_rng(20150105)
@@ -100,7 +113,7 @@ def _whole(t: Title) -> int:
 
 
 def profiles(df: DataFrame, id_col: str, title_col: str, url_col: str | None) -> DataFrame:
-    """id, address and whole-title keys (null where there is none), band keys and signature words."""
+    """id, title, address and whole-title keys (null where there is none), band keys and signature words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,17 +136,18 @@ def profiles(df: DataFrame, id_col: str, title_col: str, url_col: str | None) ->
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
+                    batch.column(1),
                     pa.array([None if a is None else np.uint64(_hash("at " + a)).view(np.int64) for a in where], pa.int64()),
                     pa.array(whole, pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(signatures, pa.binary()),
                 ],
-                names=["id", "at", "whole", "bands", "signature"],
+                names=["id", "title", "at", "whole", "bands", "signature"],
             )
 
     none = F.lit(None).cast("string")
-    chosen = df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{title_col}`"), none if url_col is None else F.col(f"`{url_col}`"))
-    return chosen.mapInArrow(run, "id long, at long, whole long, bands array<long>, signature binary")
+    chosen = df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{title_col}`").cast("string"), none if url_col is None else F.col(f"`{url_col}`"))
+    return chosen.mapInArrow(run, "id long, title string, at long, whole long, bands array<long>, signature binary")
 
 
 def _links_in_band(ids: list[int], signatures: list[bytes], new: list[bool]) -> Iterator[tuple[int, int]]:
@@ -214,57 +228,165 @@ def band_links(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def sure_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The candidate links whose titles have the same words. texts: id, title."""
+    """later and earlier, the works' firsts, and whether each was there before, of the candidate links whose titles have the same words.
+
+    texts: id, first, title, old.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             keep = pa.array([same_words(title(x), title(y)) for x, y in zip(a, b)], pa.bool_())
-            yield batch.select([0, 1]).filter(keep)
+            yield batch.select([0, 1, 2, 3]).filter(keep)
+
+    def end(name: str) -> DataFrame:
+        return texts.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("first", "old", "title")])
+
+    both = pairs.join(end("later"), "later").join(end("earlier"), "earlier")
+    chosen = both.select(F.col("later_first").alias("later"), "later_old", F.col("earlier_first").alias("earlier"), "earlier_old", "later_title", "earlier_title")
+    return chosen.mapInArrow(run, "later long, later_old boolean, earlier long, earlier_old boolean")
+
+
+def _word(c: Column) -> Column:
+    return c.bitwiseAND(F.lit((1 << WORD_BITS) - 1)).cast("int")
+
+
+def _bit(c: Column) -> Column:
+    return F.shiftright(c, WORD_BITS).bitwiseAND(F.lit(63)).cast("int")
 
-    one = texts.select(F.col("id").alias("later"), F.col("title").alias("later_title"))
-    two = texts.select(F.col("id").alias("earlier"), F.col("title").alias("earlier_title"))
-    both = pairs.join(one, "later").join(two, "earlier").select("later", "earlier", "later_title", "earlier_title")
-    return both.mapInArrow(run, "later long, earlier long")
+
+class BitMap:
+    """Which hashes may be among some: at most 1 << WORD_BITS words of 64 bits, however many hashes there are."""
+
+    def __init__(self, hashes: DataFrame):
+        """hashes: one column h. most: how many hashes share a word at most; rows: how many there are."""
+        words = hashes.groupBy(_word(F.col("h")).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("h")))).alias("mask"), F.count("*").alias("n"))
+        self.table = words.toArrow()  # at most 1 << WORD_BITS rows
+        self.words = self.table.column("word").to_numpy()
+        n = self.table.column("n").to_numpy()
+        self.rows, self.most = int(n.sum()), int(n.max(initial=0))
+
+    def buckets(self, of: int) -> list[int]:
+        """The folders that the hashes fall in, of a power of two."""
+        return np.unique(self.words & (of - 1)).tolist()
+
+    def keep(self, df: DataFrame, h: Column) -> DataFrame:
+        """The rows of df whose hash may be among those of the map; the map's size is bounded, so it is broadcast."""
+        some = df.sparkSession.createDataFrame(self.table.select(["word", "mask"]))
+        marked = df.withColumn("__word", _word(h)).withColumn("__bit", F.call_function("shiftleft", F.lit(1).cast("long"), _bit(h)))
+        met = marked.join(F.broadcast(some.withColumnRenamed("word", "__word")), "__word")
+        return met.where(F.col("mask").bitwiseAND(F.col("__bit")) != 0).select(*df.columns)
 
 
 class WorkIndex:
     """The accepted works: their keys, in folders by hash, and the first record of each.
 
-    path: a folder on shared storage. Three tables: keys (bucket, kind, key, id,
-    signature), of accepted records, works (id, first, title) of all records that
-    came in, first as it was known then, and joined (id, first) of firsts whose
-    work a later row joined to an older one. ingest() may be called any number of
-    times.
+    path: a folder on shared storage. Tables: keys (kind, key, id, signature) of
+    accepted records, in which address and title keys have the first of their
+    work as id; works (id, first, title) of all records that came in, first as it
+    was known then; joined (id, first) of firsts whose work a later row joined to
+    an older one; found, the results of each batch. A list of segments in
+    `commits` says what counts. ingest() may be called any number of times, by
+    one caller at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, hot: int = HOT):
-        self.spark, self.path, self.buckets, self.hot = spark, path.rstrip("/"), buckets, hot
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/keys")
-        self.filled = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-    def keys(self, buckets: list[int] | None = None) -> DataFrame:
-        """The stored keys of some folders."""
-        rows = self.spark.read.schema("kind int, key long, id long, signature binary, bucket int").parquet(f"{self.path}/keys")
-        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
-
-    def works(self) -> DataFrame:
-        return self.spark.read.schema("id long, first long, title string").parquet(f"{self.path}/works")
+    KEYS, WORKS, PAIRS = "kind int, key long, id long, signature binary", "id long, first long, title string", "id long, first long"
+
+    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS, hot: int = HOT, fan: int = FAN):
+        self.spark, self.path, self.bucket_rows, self.hot, self.fan = spark, path.rstrip("/"), bucket_rows, hot, fan
+        self.state = self._latest()
+
+    # What counts.
+
+    def _latest(self) -> dict:
+        files, at = hadoop(self.spark, f"{self.path}/commits")
+        names = sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+        names = [n for n in names if n.endswith(".json")]
+        if not names:
+            return {"number": 0, "keys": [], "works": [], "joined": [], "found": {}}
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/commits/{names[-1]}").collect()))
+
+    def _commit(self, state: dict) -> None:
+        """Put the next list in place: written beside it, then renamed, which fails if another caller was first."""
+        state = state | {"number": self.state["number"] + 1}
+        files, at = hadoop(self.spark, f"{self.path}/commits/.{uuid.uuid4().hex}")
+        out = files.create(at, True)
+        out.write(bytearray(json.dumps(state), "utf-8"))
+        out.close()
+        _, to = hadoop(self.spark, f"{self.path}/commits/{state['number']:010d}.json")
+        if files.exists(to) or not files.rename(at, to):
+            raise RuntimeError("another caller changed the index at the same time")
+        self.state = state
+
+    # Segments.
+
+    def _write(self, rows: DataFrame, table: str, h: Column, estimate: int, tier: int = 0, crowded: bool = False) -> dict:
+        """Write rows as a segment with as many folders as they need; what the list says of it."""
+        buckets = 1
+        while buckets * self.bucket_rows < estimate and buckets < 1 << WORD_BITS:
+            buckets *= 2
+        name = f"{table}/segment={uuid.uuid4().hex}"
+        rows = rows.withColumn("bucket", h.bitwiseAND(F.lit(buckets - 1)).cast("int"))
+        rows = rows.coalesce(1) if buckets == 1 else rows.repartition(buckets, "bucket")
+        rows.sortWithinPartitions("bucket", "id").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        files, at = hadoop(self.spark, f"{self.path}/{name}")
+        there = {int(n.partition("=")[2]) for f in files.listStatus(at) if "=" in (n := f.getPath().getName())}
+        return {"name": name, "buckets": buckets, "empty": sorted(set(range(buckets)) - there), "rows": estimate, "tier": tier, "crowded": crowded}
+
+    def _paths(self, table: str, some: BitMap | None = None) -> list[str]:
+        """The folders of a table that hashes of a map fall in."""
+        out = []
+        for s in self.state[table]:
+            wanted = range(s["buckets"]) if some is None else some.buckets(s["buckets"])
+            out += [f"{self.path}/{s['name']}/bucket={b}" for b in wanted if b not in set(s["empty"])]
+        return out
+
+    def _read(self, table: str, schema: str, some: BitMap | None = None) -> DataFrame:
+        paths = self._paths(table, some)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _merged(self, state: dict, table: str, schema: str, h: Column) -> tuple[dict, list[str]]:
+        """The list with FAN segments of a tier merged into one of the next, as often as there are so many; folders no more needed."""
+        gone: list[str] = []
+        while True:
+            tiers = [s["tier"] for s in state[table]]
+            tier = next((t for t in sorted(set(tiers)) if tiers.count(t) >= self.fan), None)
+            if tier is None:
+                return state, gone
+            old = [s for s in state[table] if s["tier"] == tier]
+            paths = [f"{self.path}/{s['name']}/bucket={b}" for s in old for b in range(s["buckets"]) if b not in set(s["empty"])]
+            rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+            total = sum(s["rows"] for s in old)
+            crowded = any(s["crowded"] for s in old)
+            if table == "keys" and not crowded and total > self.hot / 16:
+                crowded = not rows.groupBy("key").count().where(F.col("count") > self.hot / 16).isEmpty()
+            new = self._write(rows, table, h, total, tier + 1, crowded)
+            state = state | {table: [s for s in state[table] if s["tier"] != tier] + [new]}
+            gone += [s["name"] for s in old]
+
+    # Results.
 
     def joined(self) -> DataFrame:
         """id and first of the works that a later row joined to an older one."""
-        return self.spark.read.schema("id long, first long").parquet(f"{self.path}/joined").groupBy("id").agg(F.min("first").alias("first"))
+        paths = [f"{self.path}/{n}" for n in self.state["joined"]]
+        rows = self.spark.read.schema(self.PAIRS).parquet(*paths) if paths else self.spark.createDataFrame([], self.PAIRS)
+        return rows.groupBy("id").agg(F.min("first").alias("first"))
 
-    def latest(self, found: DataFrame) -> DataFrame:
-        """The results of all calls of ingest() by what is known now, the same for any cut into calls.
+    def repeats(self) -> DataFrame:
+        """id and first of every repeat, by what is known now, the same for any cut into batches.
 
         A row that belongs to two works makes them one: the later work's rows, its
         first among them, get the first of the older.
         """
-        moved = self.joined()
+        found = self._read("works", self.WORKS).where("id <> first").select("id", "first")
+        if not self.state["joined"]:
+            return found
+        moved = cut(self.joined())
         now = found.join(moved.select(F.col("id").alias("first"), F.col("first").alias("now")), "first", "left")
         return now.select("id", F.coalesce("now", "first").alias("first")).unionByName(moved)
 
+    # A batch.
+
     def _split(self, rows: DataFrame, share: int = 64) -> DataFrame:
         """rows, with keys that very many rows have split so that no task gets the crowd.
 
@@ -274,69 +396,114 @@ class WorkIndex:
         """
         drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).groupBy("key").count().where(F.col("count") > self.hot / share)
         hot = cut(drawn.select("key", F.ceil(2 * share * F.col("count") / self.hot).cast("int").alias("splits")))
-        if hot.isEmpty():
-            return rows
         dealt = rows.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("splits"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
         crowd = dealt.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select(*rows.columns)
         return crowd.unionByName(rows.join(hot, "key", "left_anti").select(*rows.columns))
 
-    def ingest(self, batch: DataFrame, id_col: str, title_col: str, url_col: str) -> DataFrame:
+    def ingest(self, batch: DataFrame, id_col: str, title_col: str, url_col: str, name: str | None = None) -> DataFrame:
         """Add a batch; id and first of each of its rows that repeats an earlier row.
 
         Earlier are all rows ingested before and the rows of the batch with a
         smaller id. Null ids are left out. A title of less than LEAST_WORDS
         telling words (also a null or blank one) and a url that names no record
-        tell nothing; a row with neither is new. Ties of equal rows go by id.
+        tell nothing; a row with neither is new. Ties of equal rows go by id. A
+        name that was ingested before adds nothing and gives its result again.
         """
-        rows = batch.where(F.col(f"`{id_col}`").isNotNull())
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        named = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{title_col}`").alias("title"))
-        marked = cut(profiles(rows, id_col, title_col, url_col))
+        name = uuid.uuid4().hex if name is None else name
+        if name not in self.state["found"]:
+            work = scratch(self.spark, "batch")
+            with tidy(self.spark):
+                self._ingest(batch.where(F.col(f"`{id_col}`").isNotNull()), id_col, title_col, url_col, name, work)
+            remove(self.spark, work)
+        return self.spark.read.schema(self.PAIRS + ", old boolean").parquet(f"{self.path}/{self.state['found'][name]}").where("not old").select("id", "first")
+
+    def _ingest(self, rows: DataFrame, id_col: str, title_col: str, url_col: str, name: str, work: str) -> None:
+        spark, parts = self.spark, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        history = bool(self.state["keys"])
+
+        def kept(df: DataFrame, to: str) -> DataFrame:
+            df.write.parquet(to)
+            return spark.read.schema(df.schema).parquet(to)
+
+        def current(df: DataFrame, of: str) -> DataFrame:
+            """df with firsts that are known to belong to older works replaced."""
+            if not self.state["joined"]:
+                return df
+            moved = self.joined().select(F.col("id").alias(of), F.col("first").alias("__now"))
+            return df.join(moved, of, "left").withColumn(of, F.coalesce("__now", of)).select(*df.columns)
+
+        marked = kept(profiles(rows, id_col, title_col, url_col), f"{work}/marked")
+        none = F.lit(None)
+        ways = F.array(
+            F.struct(F.lit(ADDRESS).alias("kind"), F.col("at").alias("key"), none.cast("array<long>").alias("bands"), none.cast("binary").alias("signature")),
+            F.struct(F.lit(EXACT).alias("kind"), F.col("whole").alias("key"), F.col("bands"), F.col("signature")),
+        )
+        plain = marked.select("id", F.explode(ways).alias("k")).select("id", "k.*").where("key is not null")
+        mine = BitMap(marked.select(F.explode(F.concat(F.array("at", "whole"), F.coalesce("bands", F.array().cast("array<long>")))).alias("h")).where("h is not null"))
+        crowded = mine.most > self.hot / 16 or any(s["crowded"] for s in self.state["keys"])
 
         # Copies of a whole title or an address: everyone is linked to the first, by minima only.
-        plain = marked.select("id", F.explode(F.array(F.struct(F.lit(ADDRESS).alias("kind"), F.col("at").alias("key")), F.struct(F.lit(EXACT).alias("kind"), F.col("whole").alias("key")))).alias("k")).select("id", "k.kind", "k.key").where("key is not null")
-        first = plain.groupBy("kind", "key").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-        inside = plain.join(first.where("n > 1"), ["kind", "key"]).where("id <> first").select(F.col("id").alias("later"), F.col("first").alias("earlier"), "kind")
-        inside = cut(inside)
-        copies = inside.where(F.col("kind") == EXACT).select(F.col("later").alias("id")).distinct()
-
-        # One record of each whole title goes on with its bands.
-        lone = marked.where("bands is not null").join(copies, "id", "left_anti")
-        mine = lone.select(F.lit(BAND).alias("kind"), F.explode("bands").alias("key"), "id", "signature", F.lit(True).alias("new"))
-        brought = mine
-        ours = first.select("kind", "key", F.col("first").alias("id"), F.lit(None).cast("binary").alias("signature"))
-        links = inside.select("later", "earlier")
-        texts = named
-        if self.filled:
-            bucket = F.pmod("key", F.lit(self.buckets)).cast("int")
-            hit = [r[0] for r in mine.select("key").unionByName(ours.select("key")).select(bucket).distinct().collect()]  # at most `buckets` numbers
-            stored = self.keys(hit)
-            seen = stored.where(F.col("kind") != BAND).groupBy("kind", "key").agg(F.min("id").alias("old"))
-            links = links.unionByName(ours.join(seen, ["kind", "key"]).select(F.col("id").alias("later"), F.col("old").alias("earlier")))
-            mine = mine.unionByName(stored.where(F.col("kind") == BAND).select("kind", "key", "id", "signature", F.lit(False).alias("new")))
-            texts = named.unionByName(self.works().select("id", "title"))
-        likely = band_links(self._split(mine), parts)
-        if self.filled:
-            likely = cut(likely)
-            wanted = likely.select(F.col("earlier").alias("id")).distinct()
-            texts = named.unionByName(self.works().select("id", "title").join(wanted, "id", "left_semi"))
-        links = links.unionByName(sure_links(likely, texts))
-        if self.filled:  # an accepted record stands for its work's first
-            roots = self.works().where("id <> first").select(F.col("id").alias("earlier"), "first")
-            links = links.join(roots, "earlier", "left").select("later", F.coalesce("first", "earlier").alias("earlier"))
-            links = links.unionByName(self.joined().select(F.col("id").alias("later"), F.col("first").alias("earlier")))
-        found = components(links, "later", "earlier")
-        mates = cut(named.select("id").join(found.select(F.col("node").alias("id"), F.col("root").alias("first")), "id").where("id <> first"))
-        moved = self.spark.createDataFrame([], "id long, first long")
-        if self.filled:
-            moved = found.where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("first"))
-            moved = cut(moved.join(self.works().where("id = first").select("id"), "id", "left_semi").join(self.joined(), ["id", "first"], "left_anti"))
-        moved.write.mode("append").parquet(f"{self.path}/joined")
+        held = plain.select("kind", "key", "id", none.cast("long").alias("known"))
+        if history:
+            stored = mine.keep(self._read("keys", self.KEYS, mine), F.col("key"))
+            known = current(stored.where(F.col("kind") != BAND).select("kind", "key", "id"), "id")
+            held = held.unionByName(known.select("kind", "key", "id", F.col("id").alias("known")))
+        first = held.groupBy("kind", "key").agg(F.min("id").alias("first"), F.min("known").alias("known"))
+        told = kept(plain.join(first, ["kind", "key"]), f"{work}/told")
+        links = told.where("id <> first").select(F.col("id").alias("later"), F.lit(False).alias("later_old"), F.col("first").alias("earlier"), F.coalesce(F.col("known") == F.col("first"), F.lit(False)).alias("earlier_old"))
+        if history:
+            links = links.unionByName(told.where("known <> first").select(F.col("known").alias("later"), F.lit(True).alias("later_old"), F.col("first").alias("earlier"), F.lit(False).alias("earlier_old")))
+
+        # One record of each title that is new goes on with its bands, and is met with what shares a band.
+        lone = told.where((F.col("kind") == EXACT) & F.col("known").isNull() & (F.col("id") == F.col("first"))).select("id", F.explode("bands").alias("key"), "signature")
+        met = lone.select("key", "id", "signature", F.lit(True).alias("new"))
+        if history:
+            met = met.unionByName(stored.where(F.col("kind") == BAND).select("key", "id", "signature", F.lit(False).alias("new")))
+        likely = kept(band_links(self._split(met) if crowded else met, parts), f"{work}/likely")
+        texts = marked.select("id", F.col("id").alias("first"), "title", F.lit(False).alias("old"))
+        if history:
+            some = BitMap(likely.select(F.explode(F.array("later", "earlier")).alias("i")).select(F.xxhash64("i").alias("h")))
+            accepted = current(some.keep(self._read("works", self.WORKS, some), F.xxhash64("id")), "first")
+            texts = texts.unionByName(accepted.select("id", "first", "title", F.lit(True).alias("old")))
+        links = links.unionByName(sure_links(likely, texts)).where("later <> earlier")
+        larger = F.col("later") > F.col("earlier")
+        found_at = f"{self.path}/found/{uuid.uuid4().hex}"
+        edges = links.groupBy(F.greatest("later", "earlier").alias("id"), F.least("later", "earlier").alias("first")).agg(F.max(F.when(larger, F.col("later_old")).otherwise(F.col("earlier_old"))).alias("old"))
+        edges = kept(edges, found_at)
+
+        # Mostly each record is linked to one first that is linked to none: then the links are the result.
+        ends = edges.select("id", F.col("first").alias("lo"), F.col("old").cast("int").alias("old")).unionByName(edges.select(F.col("first").alias("id"), none.cast("long").alias("lo"), F.lit(0).alias("old")))
+        seen = ends.groupBy("id").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"), F.count_if(F.col("lo").isNull()).alias("roots"), F.max("old").alias("old"))
+        open_ends, moved = seen.agg(F.count_if(F.expr("lo <> hi or (lo is not null and roots > 0)")), F.count_if(F.col("old") == 1)).first()
+        if open_ends:
+            ids = marked.select("id").distinct().withColumn("new", F.lit(True))
+            roots = components(edges, "id", "first").where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("first"))
+            before, found_at = found_at, f"{self.path}/found/{uuid.uuid4().hex}"
+            edges = kept(roots.join(ids, "id", "left").select("id", "first", F.col("new").isNull().alias("old")), found_at)
+            remove(spark, before)
+            moved = edges.where("old").count()
+        state = self.state | {"found": self.state["found"] | {name: found_at.removeprefix(f"{self.path}/")}}
+        if moved:  # also what was joined to a first that is none any more gets the new one
+            gone = edges.where("old").select("id", "first")
+            if self.state["joined"]:
+                further = self.joined().join(gone.select(F.col("id").alias("first"), F.col("first").alias("now")), "first").select("id", F.col("now").alias("first"))
+                gone = gone.unionByName(further)
+            to = f"joined/{uuid.uuid4().hex}"
+            gone.coalesce(1).write.parquet(f"{self.path}/{to}")
+            state["joined"] = [*state["joined"], to]
 
         # Only records of new spellings or addresses bring new keys.
-        fresh = ours.unionByName(brought.select("kind", "key", "id", "signature"))
-        fresh.withColumn("bucket", F.pmod("key", F.lit(self.buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").mode("append").option("compression", "zstd").parquet(f"{self.path}/keys")
-        named.join(mates, "id", "left").select("id", F.coalesce("first", "id").alias("first"), "title").write.mode("append").parquet(f"{self.path}/works")
-        self.filled = True
-        release(self.spark)  # all that is needed of this batch is written
-        return mates
+        mates = edges.where("not old").select("id", "first")
+        named = told.where("id = first and known is null").select("kind", "key", "id").join(mates, "id", "left")
+        fresh = named.select("kind", "key", F.coalesce("first", "id").alias("id"), none.cast("binary").alias("signature"))
+        fresh = fresh.unionByName(lone.select(F.lit(BAND).alias("kind"), "key", "id", "signature"))
+        works = marked.select("id", "title").join(mates, "id", "left").select("id", F.coalesce("first", "id").alias("first"), "title")
+        with ThreadPoolExecutor(2) as both:  # the two tables don't depend on each other
+            keys = both.submit(self._write, fresh, "keys", F.col("key"), mine.rows, 0, mine.most > self.hot / 16)
+            titles = both.submit(self._write, works, "works", F.xxhash64("id"), max(1, mine.rows // (BANDS + 2)))
+            state |= {"keys": [*state["keys"], keys.result()], "works": [*state["works"], titles.result()]}
+        state, old_keys = self._merged(state, "keys", self.KEYS, F.col("key"))
+        state, old_works = self._merged(state, "works", self.WORKS, F.xxhash64("id"))
+        self._commit(state)
+        for segment in old_keys + old_works:
+            remove(spark, f"{self.path}/{segment}")

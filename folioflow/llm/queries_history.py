@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,19 +9,15 @@ from folioflow.lineage import scratch
 from folioflow.llm.history import WorkIndex
 from folioflow.tables import table
 
-#: How many arrival batches one call of ingest() takes: the batches of a fortnight. The result is the same for any number.
-BATCHES_A_CALL = 14
-
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """first_paper_id and paper_id of each row whose work was accepted before."""
+    """first_paper_id and paper_id of each row whose work was accepted before; each arrival batch is handed in on its own."""
     papers = table(spark, sf_dir, "papers").select("paper_id", "batch_no", "title", "url")
-    lowest, highest = papers.agg(F.min("batch_no"), F.max("batch_no")).first()
-    index, found = WorkIndex(spark, scratch(spark, "works")), []
-    for at in range(lowest or 0, (highest or 0) + 1, BATCHES_A_CALL):
-        came = papers.where(F.col("batch_no").between(at, at + BATCHES_A_CALL - 1))
-        found.append(index.ingest(came, "paper_id", "title", "url"))
-    return index.latest(reduce(DataFrame.unionByName, found)).select(F.col("first").alias("first_paper_id"), F.col("id").alias("paper_id"))
+    batches = sorted(r[0] for r in papers.where("batch_no is not null").select("batch_no").distinct().collect())  # one number a batch
+    index = WorkIndex(spark, scratch(spark, "works"))
+    for at in batches:
+        index.ingest(papers.where(F.col("batch_no") == at), "paper_id", "title", "url", name=str(at))
+    return index.repeats().select(F.col("first").alias("first_paper_id"), F.col("id").alias("paper_id"))
 
 
 QUERIES = {"p4_found": p4_found}

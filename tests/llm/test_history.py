@@ -1,13 +1,10 @@
 import random
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
 
 from folioflow.lineage import scratch
 from folioflow.llm.components import components
 from folioflow.llm.history import WorkIndex, address, _links_in_band
-from folioflow.llm.queries_history import p4_found
 from folioflow.llm.titles import same_words, title
 
 
@@ -38,12 +35,12 @@ def test_titles():
 
 
 def test_index_finds_repeats_of_earlier_rows_and_earlier_batches(spark):
-    index = WorkIndex(spark, scratch(spark, "t"), buckets=4)
+    index = WorkIndex(spark, scratch(spark, "t"), bucket_rows=40)
     schema = "id long, title string, url string, first string"
     one = [(1, BASE, "https://arxive.example/abs/1501.00001v1", "x"), (2, None, None, "x"), (3, "", "", "x"), (4, "Editorial", None, None), (5, BASE + " ", None, None), (5, BASE + " ", None, None), (None, BASE, None, None)]
     assert set(rows_of(index.ingest(spark.createDataFrame(one, schema), "id", "title", "url"))) == {(5, 1)}
     two = [(6, "Editorial", None, None), (7, "Sparse Grraph Routing for Weakly Fair Lesion Ranknig in Urban Alpine Sensor Networks", None, None), (8, "Something else", "oai:arxive.example:1501.00001v4", None), (9, None, None, None), (10, "Rethinking " + BASE, None, None)]
-    again = WorkIndex(spark, index.path, buckets=4)
+    again = WorkIndex(spark, index.path, bucket_rows=40)
     assert rows_of(again.ingest(spark.createDataFrame(two, schema), "id", "title", "url")) == [(7, 1), (8, 1)]
     three = [(11, "rethinking " + BASE, None, None), (12, "x" * 100_000, None, None)]
     assert rows_of(again.ingest(spark.createDataFrame(three, schema), "id", "title", "url")) == [(11, 10)]
@@ -52,19 +49,18 @@ def test_index_finds_repeats_of_earlier_rows_and_earlier_batches(spark):
 
 def test_batches_one_by_one_and_at_once_agree(spark, sf_dir):
     papers = spark.read.parquet(f"{sf_dir}/papers.parquet").select("paper_id", "title", "url").orderBy("paper_id").toPandas()
-    once = rows_of(WorkIndex(spark, scratch(spark, "t"), 4).ingest(spark.createDataFrame(papers), "paper_id", "title", "url"))
-    index, parts = WorkIndex(spark, scratch(spark, "t"), 4), []
+    once = rows_of(WorkIndex(spark, scratch(spark, "t"), 200, fan=2).ingest(spark.createDataFrame(papers), "paper_id", "title", "url"))
+    index, parts = WorkIndex(spark, scratch(spark, "t"), 200, fan=2), []
     for at in range(0, len(papers), 60):
         parts += rows_of(index.ingest(spark.createDataFrame(papers[at : at + 60]), "paper_id", "title", "url"))
     assert once == sorted(parts)
-    assert sorted((r.paper_id, r.first_paper_id) for r in p4_found(spark, sf_dir).collect()) == once
 
 
 def test_hot_keys_are_split_without_changing_the_result(spark, sf_dir):
     rows = [(i, BASE if i % 3 else BASE.replace("Lesion", "Lesoin" if i % 2 else "Lesionn"), None) for i in range(60)] + [(100 + i, f"Other Topic Number {i} on {'x' * i} Words in a Title", None) for i in range(20)]
     df = spark.createDataFrame(rows, "id long, title string, url string")
-    plain = rows_of(WorkIndex(spark, scratch(spark, "t"), 4).ingest(df, "id", "title", "url"))
-    index = WorkIndex(spark, scratch(spark, "t"), 4, hot=1)
+    plain = rows_of(WorkIndex(spark, scratch(spark, "t"), 200, fan=2).ingest(df, "id", "title", "url"))
+    index = WorkIndex(spark, scratch(spark, "t"), 200, hot=1)
     assert rows_of(index.ingest(df.where("id < 30"), "id", "title", "url")) + rows_of(index.ingest(df.where("id >= 30"), "id", "title", "url")) == plain
     assert [a for a, _ in plain] == list(range(1, 60)) and {b for _, b in plain} == {0}
 
@@ -127,9 +123,9 @@ def test_works_joined_by_a_later_row_keep_the_smallest_first(spark):
     for cuts in ([8], [3, 4, 6, 8]):
         path, found = scratch(spark, "t"), []
         for lo, hi in zip([0, *cuts], cuts):
-            index = WorkIndex(spark, path, 4)
+            index = WorkIndex(spark, path, 50)
             found.append(index.ingest(spark.createDataFrame(rows[lo:hi], schema), "id", "title", "url"))
-        assert rows_of(index.latest(reduce(DataFrame.unionByName, found))) == want
+        assert rows_of(index.repeats()) == want
         if len(cuts) == 4:  # each call tells the first as it is known by then
             assert [rows_of(f) for f in found] == [[], [(4, 2)], [(5, 1), (6, 1)], [(7, 1), (8, 1)]]
 
@@ -169,5 +165,80 @@ def test_equal_signatures_of_other_words_hide_no_repeat(spark):
     assert not same_words(title(one), title(two))
     rows = [(1, one, None), (2, two, None), (3, two.replace("Graph", "Grpah"), None), (4, two.replace("Sparse", "Spares"), None)]
     df = spark.createDataFrame(rows, "id long, title string, url string")
-    assert rows_of(WorkIndex(spark, scratch(spark, "t"), 4).ingest(df, "id", "title", "url")) == [(3, 2), (4, 2)]
+    assert rows_of(WorkIndex(spark, scratch(spark, "t"), 200, fan=2).ingest(df, "id", "title", "url")) == [(3, 2), (4, 2)]
     assert set(_links_in_band([1, 2, 3], [b"abcde"] * 3, [True] * 3)) == {(2, 1), (3, 1), (3, 2)}
+
+
+def fresh_rows(n, begin, seed):
+    """Rows whose titles share nothing but one in ten, which repeats an earlier one."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(begin, begin + n):
+        words = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 8)) for _ in range(8)]
+        out.append((i, " ".join(words), None))
+    return out
+
+
+def test_a_batch_reads_as_much_of_a_long_history_as_of_a_short_one(spark):
+    """Bytes of the folders that a small batch reads, of keys and of titles, while history grows tenfold."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from folioflow.llm.history import BitMap, profiles
+
+    schema = "id long, title string, url string"
+    index = WorkIndex(spark, scratch(spark, "t"), bucket_rows=40, fan=3)
+    batch = spark.createDataFrame(fresh_rows(2, 10**6, 99), schema)
+    keys = BitMap(profiles(batch, "id", "title", "url").select(F.explode("bands").alias("h")))
+    few = BitMap(spark.range(2).select(F.xxhash64("id").alias("h")))
+
+    def read(table, some):
+        paths = [p.removeprefix("file:") for p in index._paths(table, some)]
+        return sum(os.path.getsize(f"{p}/{f}") for p in paths for f in os.listdir(p) if f.endswith(".parquet"))
+
+    seen = []
+    for at, n in enumerate((400, 3600)):
+        index.ingest(spark.createDataFrame(fresh_rows(n, at * 400, at), schema), "id", "title", "url")
+        seen.append((read("keys", keys), read("keys", None), read("works", few), read("works", None)))
+    (k1, all1, w1, titles1), (k2, all2, w2, titles2) = seen
+    assert all2 > 6 * all1 and titles2 > 6 * titles1
+    assert k2 < 2.5 * k1 and k2 < all2 / 8 and w2 < 4 * max(w1, titles1 / 8)
+
+
+def test_segments_are_merged_in_tiers_and_results_stay(spark, sf_dir):
+    papers = spark.read.parquet(f"{sf_dir}/papers.parquet").select("paper_id", "title", "url").orderBy("paper_id").toPandas()
+    whole = WorkIndex(spark, scratch(spark, "t"))
+    whole.ingest(spark.createDataFrame(papers), "paper_id", "title", "url")
+    index = WorkIndex(spark, scratch(spark, "t"), bucket_rows=100, fan=2)
+    for at in range(0, len(papers), 40):
+        index.ingest(spark.createDataFrame(papers[at : at + 40]), "paper_id", "title", "url")
+    assert len(index.state["keys"]) <= 3 and max(s["tier"] for s in index.state["keys"]) >= 1
+    assert rows_of(index.repeats()) == rows_of(whole.repeats())
+
+
+def test_a_broken_call_leaves_nothing_and_a_named_batch_counts_once(spark, monkeypatch):
+    schema = "id long, title string, url string"
+    index = WorkIndex(spark, scratch(spark, "t"))
+    index.ingest(spark.createDataFrame([(1, BASE, None)], schema), "id", "title", "url", name="one")
+    later = spark.createDataFrame([(2, BASE + ".", None), (3, BASE.replace("Graph", "Grpah"), None)], schema)
+    with monkeypatch.context() as m:
+        m.setattr(WorkIndex, "_commit", lambda *_: 1 / 0)
+        try:
+            WorkIndex(spark, index.path).ingest(later, "id", "title", "url", name="two")
+        except ZeroDivisionError:
+            pass
+    again = WorkIndex(spark, index.path)
+    assert again.repeats().count() == 0 and len(again.state["works"]) == 1
+    for _ in range(2):
+        assert rows_of(again.ingest(later, "id", "title", "url", name="two")) == [(2, 1), (3, 1)]
+    assert len(WorkIndex(spark, index.path).state["works"]) == 2
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    import pytest
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(path, most_rounds=1)
+    assert {r.root for r in components(path).collect()} == {0}
