@@ -1,7 +1,7 @@
 """Several values packed in one field: one row per value, with its position.
 
 The field is split on the quote character. Odd pieces are literals, whose
-delimiters are masked; even pieces are plain text, in which delimiters count.
+delimiters are escaped; even pieces are plain text, in which delimiters count.
 SQL array folds put the pieces together again, split the result and number the
 values. Everything is a column expression; no shuffle and no Python.
 """
@@ -23,9 +23,10 @@ PARTICLES = "van|von|der|den|de|del|della|di|da|dos|du|la|le|el|al|bin|ibn|ter|t
 # Stand-ins for further authors that are not named.
 UNNAMED = r"(?:(?:and|&|und|et)\s+)?(?:et\.?\s*al\b\.?|others|other authors|further authors|u\.\s?a\.|\.{3,}|…|n/?a|null|none|-+)"
 
-LITERAL, MASK = "\ue000", "\ue010\ue011\ue012\ue013\ue014\ue015\ue016\ue017\ue018\ue019\ue01a"
-HIDDEN = STRONG + ",&"  # masked one by one; " and " of a literal needs no mask, as literals are kept whole
-QUOTE = "\ue001"
+#: Stands ahead of a character of a literal that delimits nothing there; one that the field itself has becomes ESCAPE + OWN.
+ESCAPE, OWN = "\ue000", "e"
+#: Stands for an escaped quote of a JSON string while quotes are looked for.
+INNER = ESCAPE + "q"
 
 
 def _strip(c: Column) -> Column:
@@ -34,42 +35,24 @@ def _strip(c: Column) -> Column:
 
 
 def _fold_quotes(field: Column) -> Column:
-    """One string in which literals are marked and their delimiters masked.
+    """The field with the delimiters of its literals escaped; quotes stay where they are.
 
-    A doubled quote inside a literal shows as an empty even piece between two
-    literals and becomes a quote again.
+    Pieces between quotes count from 0: odd ones are literals, wherever they
+    stand. A doubled quote inside a literal is an empty even piece between two
+    odd ones. An odd number of quotes is no quoting: the quotes are text.
     """
-    is_json = _strip(field).startswith("[")
-    plain = F.when(is_json, F.regexp_replace(field, r'\\"', QUOTE)).otherwise(field)
-    pieces = F.split(plain, '"')
-    n = F.size(pieces)
-
-    def literal(x: Column) -> Column:
-        undone = F.coalesce(F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>")[0], x)
-        return F.translate(F.when(is_json & x.contains("\\"), undone).otherwise(x), HIDDEN, MASK)
-
-    def step(acc: Column, item: Column) -> Column:
-        i, x = item["i"], item["x"]
-        inner = (i > 0) & (i < n - 1)
-        joined = (x == "") & inner  # a doubled quote
-        odd = i % 2 == 1
-        return F.struct(
-            F.concat(
-                acc["s"],
-                F.when(odd & acc["glue"], literal(x))
-                .when(odd, F.concat(F.lit(LITERAL), literal(x)))
-                .when(joined, F.lit(QUOTE))
-                .otherwise(x),
-            ).alias("s"),
-            (~odd & joined).alias("glue"),
-        )
-
-    numbered = F.transform(pieces, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    start = F.struct(F.lit("").alias("s"), F.lit(False).alias("glue"))
-    folded = F.aggregate(numbered, start, step, lambda a: a["s"])
-    # An odd number of quotes is no quoting: the quotes are text.
-    quoted = (n % 2 == 1) & (n > 1) & _strip(field).rlike(r'^(\[\s*)?([;,|\s]*)"')
-    return F.when(quoted, folded).otherwise(F.translate(plain, '"', QUOTE))
+    pieces = F.split(field, '"')
+    escaped = F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.regexp_replace(x, rf"([{STRONG},&]|\b(?:and|und)\b)", f"{ESCAPE}$1")).otherwise(x))
+    folded = F.aggregate(escaped, F.lit(None).cast("string"), lambda acc, x: F.coalesce(F.concat(acc, F.lit('"'), x), x))
+    return F.when(field.contains('"') & (F.size(pieces) % 2 == 1), folded).otherwise(field)
+
+
+def _undone(value: Column) -> Column:
+    """A value with its quoting and all escapes undone."""
+    quoted = F.regexp_replace(F.regexp_extract(value, r'(?s)^"(.*)"$', 1), '""', '"')
+    text = F.when(value.rlike(r'(?s)^".*"$') & (F.length(value) > 1), quoted).otherwise(value)
+    plain = F.regexp_replace(F.regexp_replace(text, INNER, '"'), f"{ESCAPE}([^{OWN}])", "$1")
+    return F.when(text.contains(ESCAPE), F.regexp_replace(plain, ESCAPE + OWN, ESCAPE)).otherwise(text)
 
 
 def _full_name(part: Column) -> Column:
@@ -80,30 +63,41 @@ def _full_name(part: Column) -> Column:
     return two | part.rlike(r"^\s*\p{L}\.(?:\s*-?\p{L}\.)*\p{L}[\p{L}\p{M}'’\-]+\.?\s*$")
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _by_commas(segment: Column) -> Column:
+    """The names of a piece that commas may delimit: each part a full name, or all of it one name with its family part first."""
+
+    def told(parts: Column, s: Column) -> Column:
+        names = F.forall(parts, lambda p: (p == "") | _full_name(p) | p.rlike(rf"(?i)^{UNNAMED}$"))
+        return F.when(names, parts).otherwise(F.array(F.regexp_replace(s, r"^[\s,]+|[\s,]+$", "")))
+
+    return F.when(segment.contains(","), _bound(F.transform(F.split(segment, rf"(?<!{ESCAPE}),"), _strip), lambda parts: told(parts, segment))).otherwise(F.array(segment))
+
+
+_AND = rf"(?U)(?:\s*,)?\s+(?:and|und)\s+|^\s*(?:and|und)\s+|\s*(?:,\s*)?(?<!{ESCAPE})&\s*"
+_LEAD = r"^\s*(?:,\s*)?(?:(?:and|und|&)\s+)?"
+_HEAD = rf"(?:\p{{Lu}}[\p{{L}}\p{{N}}\-]*\s+){{0,4}}(?:{GROUP_HEADS})\s+(?:on|for|of|in)\s"
+
+
 def _names(segment: Column) -> Column:
     """The names in a piece that holds no strong delimiter."""
-    head = rf"(?:\p{{Lu}}[\p{{L}}\p{{N}}\-]*\s+){{0,4}}(?:{GROUP_HEADS})\s+(?:on|for|of|in)\s"
-    lists = F.flatten(
-        F.transform(
-            F.split(segment, r"(?U)(?:\s*,)?\s+(?:and|und)\s+|^\s*(?:and|und)\s+|\s*(?:,\s*)?&\s*"),
-            lambda s: F.when(
-                F.size(F.split(s, ",")) >= 2,
-                F.when(
-                    F.forall(F.filter(F.split(s, ","), lambda p: _strip(p) != ""), lambda p: _full_name(p) | _strip(p).rlike(rf"(?i)^{UNNAMED}$")),
-                    F.split(s, ","),
-                ).otherwise(F.array(F.regexp_replace(s, r"^[\s,]+|[\s,]+$", ""))),
-            ).otherwise(F.array(s)),
-        )
-    )
-    before = F.regexp_extract(segment, rf"(?s)^(.*?)(?:,?\s+(?:and|und|&)\s+|,\s*){head}", 1)
-    group = F.substring(segment, F.length(before) + F.lit(1), F.length(segment))
-    group = F.regexp_replace(group, r"^\s*(?:,\s*)?(?:(?:and|und|&)\s+)?", "")
-    rest = F.flatten(F.transform(F.split(before, r"(?U)(?:\s*,)?\s+(?:and|und)\s+|\s*(?:,\s*)?&\s*"), lambda s: F.split(s, ",")))
+
+    def with_group(before: Column) -> Column:
+        group = F.regexp_replace(F.substring(segment, F.length(before) + F.lit(1), F.length(segment)), _LEAD, "")
+        rest = F.flatten(F.transform(F.split(before, _AND), lambda s: F.split(s, rf"(?<!{ESCAPE}),")))
+        return F.when(F.length(before) > 0, F.concat(rest, F.array(group))).otherwise(plain)
+
+    plain = F.when(segment.rlike(_AND), F.flatten(F.transform(F.split(segment, _AND), _by_commas))).otherwise(_by_commas(segment))
+    grouped = _bound(F.regexp_extract(segment, rf"(?s)^(.*?)(?:,?\s+(?:and|und|&)\s+|,\s*){_HEAD}", 1), with_group)
     return (
-        F.when(segment.startswith(LITERAL), F.array(segment))
-        .when(segment.rlike(rf"^\s*(?:(?:and|und|&)\s+)?(?:[Tt]he\s+)?{head}"), F.array(F.regexp_replace(segment, r"^\s*(?:(?:and|und|&)\s+)?", "")))
-        .when(F.length(before) > 0, F.concat(rest, F.array(group)))
-        .otherwise(lists)
+        F.when(segment.rlike(r'(?s)^\s*".*"\s*$'), F.array(segment))
+        .when(~segment.rlike(rf"(?:{GROUP_HEADS})\s+(?:on|for|of|in)\s"), plain)
+        .when(segment.rlike(rf"^\s*(?:(?:and|und|&)\s+)?(?:[Tt]he\s+)?{_HEAD}"), F.array(F.regexp_replace(segment, r"^\s*(?:(?:and|und|&)\s+)?", "")))
+        .otherwise(grouped)
     )
 
 
@@ -113,25 +107,30 @@ def packed_values(field: Column) -> Column:
     Null, an empty field, a field of blanks or of delimiters only: an empty
     array. Stand-ins for unnamed values ("et al.") and blank slots are left
     out and take no number. A value is as typed, with quoting and escapes
-    undone and no white space around it. Repeated values stay, each with its
-    own number. Nothing bounds a field's length or number of values.
+    undone and no white space around it. Quoting counts slot by slot: a slot
+    that begins and ends with a quote is quoted, in another the quotes are
+    text; either way nothing between quotes delimits. Repeated values stay,
+    each with its own number. Nothing bounds a field's length or number of
+    values, and no character of it is lost.
     """
-    masked = _fold_quotes(F.regexp_replace(field, "[\ue000-\ue01f]", ""))
-    has_literal = masked.contains(LITERAL)
-    # Between literals a comma is a delimiter, and the brackets of a JSON array are none of the text.
-    bare = F.when(has_literal, F.regexp_replace(masked, r"^\s*\[|\]\s*$", "")).otherwise(masked)
-    segments = F.when(has_literal, F.split(bare, rf"[{STRONG},&]")).otherwise(F.split(bare, rf"[{STRONG}]"))
-    segments = F.transform(segments, lambda s: F.when(s.contains(LITERAL), F.regexp_replace(s, f"^.*?(?={LITERAL})", "")).otherwise(s))
-    names = F.flatten(F.transform(segments, _names))
+    own = F.when(field.contains(ESCAPE), F.regexp_replace(field, ESCAPE, ESCAPE + OWN)).otherwise(field)
+    is_json = F.regexp_replace(own, r'\\.', "").rlike(r'(?s)^\s*\[\s*(?:"[^"]*"\s*(?:,\s*"[^"]*"\s*)*)?\]\s*$')
+
+    # The quotes inside a JSON string are set apart first; its brackets are none of the text.
+    inner = F.regexp_replace(F.regexp_replace(own, r'((?:^|[^\\])(?:\\\\)*)\\"', f"$1{INNER}"), r"^\s*\[|\]\s*$", "")
+    plain = F.when(is_json, inner).otherwise(own)
+
+    def slots(folded: Column) -> Column:
+        # A comma or "&" delimits quoted slots too; elsewhere it may stand inside a name.
+        quoted = folded.rlike(rf'(?s)(?:^|(?<!{ESCAPE})[{STRONG},&])\s*"[^"]*(?:""[^"]*)*"\s*(?:$|[{STRONG},&])')
+        hard = F.split(folded, rf"(?<!{ESCAPE})[{STRONG}]")
+        soft = F.split(folded, rf'(?<!{ESCAPE})[{STRONG}]|(?<=")\s*(?<!{ESCAPE})[,&]|(?<!{ESCAPE})[,&](?=\s*")')
+        return F.when(quoted, soft).otherwise(hard)
+
+    names = F.flatten(F.transform(_bound(_fold_quotes(plain), slots), _names))
     clean = F.transform(
-        names,
-        lambda s: _strip(
-            F.regexp_replace(
-                F.translate(F.translate(F.regexp_replace(s, LITERAL, ""), MASK, HIDDEN), QUOTE, '"'),
-                r"(?iU)[\s,]+et\.?\s*al\b\.?\s*$",
-                "",
-            )
-        ),
+        F.transform(names, lambda s: _strip(F.regexp_replace(s, r"(?iU)[\s,]+et\.?\s*al\b\.?\s*$", ""))),
+        lambda s: _strip(F.when(s.contains('"') | s.contains(ESCAPE), _undone(F.when(is_json & s.contains("\\"), F.coalesce(F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>")[0], s)).otherwise(s))).otherwise(s)),
     )
     kept = F.filter(clean, lambda s: s.rlike(r"[\p{L}\p{N}]") & ~s.rlike(rf"(?i)^{UNNAMED}$"))
     return F.coalesce(kept, F.array().cast("array<string>"))

@@ -23,6 +23,13 @@ CASES = [
     ('Boe, Theresa "Tess"; Coe, B.', ['Boe, Theresa "Tess"', "Coe, B."]),
     ("Ann Boe; Ann Boe", ["Ann Boe", "Ann Boe"]),
     ("  Boe, I.\n", ["Boe, I."]),
+    ('Prof "Roe, Ann"; "Li, Bo"', ['Prof "Roe, Ann"', "Li, Bo"]),
+    ('A B;xx "Li, Bo" yy;"Ro, C"', ["A B", 'xx "Li, Bo" yy', "Ro, C"]),
+    ('Ann "A; and B" Boe; Coe, B.', ['Ann "A; and B" Boe', "Coe, B."]),
+    ('"Boe, Ann" & "Coe; Ben"', ["Boe, Ann", "Coe; Ben"]),
+    ("Ann \ue000 Boe\ue010; Ben \ue000e Coe", ["Ann \ue000 Boe\ue010", "Ben \ue000e Coe"]),
+    ('"Ann \ue000; Boe"; Coe, B.', ["Ann \ue000; Boe", "Coe, B."]),
+    ('["Boe, Ann & Co; x", "Back\\\\slash Boe", "Tab\\tBoe", "\\"Al\\" Boe"]', ["Boe, Ann & Co; x", "Back\\slash Boe", "Tab\tBoe", '"Al" Boe']),
     (" ; ", []),
     ("", []),
     ("   ", []),
