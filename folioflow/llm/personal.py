@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -52,78 +53,79 @@ class Normal:
     """A text under edits, with the source's place of every character."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.shift = text, [0], [(0, 0)]
+        self.text = text
         self._pieces: list[tuple[int, int, int]] = [(0, 0, len(text))]  # begin here, begin in source, length in source
+        self._begins = [0]
+
+    def _straight(self, i: int) -> bool:
+        """Whether a piece's characters map one to one."""
+        return self._end(i) - self._begins[i] == self._pieces[i][2]
+
+    def _end(self, i: int) -> int:
+        return self._begins[i + 1] if i + 1 < len(self._begins) else len(self.text)
 
     def edit(self, found: list[tuple[int, int, str]]) -> None:
-        """Replace spans (begin, end, new text), in order and apart from each other."""
+        """Replace spans (begin, end, new text), in order and apart from each other; one pass over text and pieces."""
         if not found:
             return
-        out, pieces, at, size = [], [], 0, 0
-
-        def keep(lo: int, hi: int) -> None:
-            nonlocal size
-            if hi > lo:
-                i = bisect_right([p[0] for p in self._pieces], lo) - 1
-                out.append(self.text[lo:hi])
-                while lo < hi:
-                    b, s, n = self._pieces[i]
-                    e = self._pieces[i + 1][0] if i + 1 < len(self._pieces) else len(self.text)
-                    to = min(hi, e)
-                    straight = e - b == n  # characters map one to one
-                    pieces.append((size, s + (lo - b) if straight else s, to - lo if straight else n))
-                    size += to - lo
-                    lo, i = to, i + 1
-
-        for b, e, new in found:
-            keep(at, b)
-            s, t = self.source(b, e)
+        out, pieces, at, size, i = [], [], 0, 0, 0
+        for b, e, new in [*found, (len(self.text), len(self.text), "")]:
+            out.append(self.text[at:b])
+            while at < b:
+                while self._end(i) <= at:
+                    i += 1
+                begin, s, n = self._pieces[i]
+                to = min(b, self._end(i))
+                straight = self._straight(i)
+                pieces.append((size, s + (at - begin) if straight else s, to - at if straight else n))
+                size, at = size + to - at, to
             if new:
+                s, t = self.source(b, e)
                 pieces.append((size, s, t - s))
-            out.append(new)
-            size += len(new)
-            at = e
-        keep(at, len(self.text))
+                out.append(new)
+                size += len(new)
+            at = max(at, e)
         self.text, self._pieces = "".join(out), pieces or [(0, 0, 0)]
+        self._begins = [p[0] for p in self._pieces]
 
     def source(self, begin: int, end: int) -> tuple[int, int]:
         """The source's span of a span here."""
-        starts = [p[0] for p in self._pieces]
-        i = bisect_right(starts, begin) - 1
-        j = bisect_right(starts, max(begin, end - 1)) - 1
-
-        def straight(k: int) -> bool:
-            b, _, n = self._pieces[k]
-            e = self._pieces[k + 1][0] if k + 1 < len(self._pieces) else len(self.text)
-            return e - b == n
-
+        i = bisect_right(self._begins, begin) - 1
+        j = bisect_right(self._begins, max(begin, end - 1)) - 1
         b, s, n = self._pieces[i]
-        first = s + (begin - b) if straight(i) else s
+        first = s + (begin - b) if self._straight(i) else s
         b, s, n = self._pieces[j]
-        last = s + (end - b) if straight(j) else s + n
+        last = s + (end - b) if self._straight(j) else s + n
         return first, max(first, last)
 
 
+# Characters that may have to be changed: without width, look-alikes, full-width and other compatible forms.
+_ODD = re.compile("[\xa0" + _ZERO_WIDTH + "\u0370-\U0010ffff]")
+_ANY_LOOKALIKE = re.compile("[" + "".join(_LOOKALIKES) + "]")
+
+
+@lru_cache(65_536)
+def _plain(c: str) -> str:
+    """What a character without regard to its neighbours becomes."""
+    if c in _ZERO_WIDTH:
+        return ""
+    if c == "\xa0":
+        return " "
+    k = c if c in _LOOKALIKES else unicodedata.normalize("NFKC", c)
+    return k if len(k) == 1 and k.isascii() else c
+
+
 def normal(text: str) -> Normal:
     """The text with its disguises undone."""
     x = Normal(text)
     if not text.isascii():
+        x.edit([(m.start(), m.end(), k) for m in _ODD.finditer(text) if (k := _plain(m.group())) != m.group()])
         edits = []
-        for i, c in enumerate(text):
-            if c in _ZERO_WIDTH:
-                edits.append((i, i + 1, ""))
-            elif c > "ͯ" and c not in _LOOKALIKES:
-                k = unicodedata.normalize("NFKC", c)
-                if k != c and len(k) == 1 and k.isascii():
-                    edits.append((i, i + 1, k))
-            elif c == "\xa0":
-                edits.append((i, i + 1, " "))
-        x.edit(edits)
-        edits = []
-        for m in _MIXED.finditer(x.text):  # look-alikes count in words that have Latin letters too
-            word = m.group()
-            if not word.isascii():
-                edits += [(m.start() + i, m.start() + i + 1, _LOOKALIKES[c]) for i, c in enumerate(word) if c in _LOOKALIKES]
+        if _ANY_LOOKALIKE.search(x.text):
+            for m in _MIXED.finditer(x.text):  # look-alikes count in words that have Latin letters too
+                word = m.group()
+                if not word.isascii():
+                    edits += [(m.start() + i, m.start() + i + 1, _LOOKALIKES[c]) for i, c in enumerate(word) if c in _LOOKALIKES]
         x.edit(edits)
     low = x.text.lower()  # the rules run only where a text has what they need
     if _AT_GATE.search(x.text):
@@ -181,7 +183,19 @@ _CASELESS = str.maketrans({"ſ": "s", "ı": "i", "İ": "i", "\u212a": "k"})
 def _may_have_id(text: str) -> bool:
     """Whether a label of an identity number may be in the text."""
     low = (text if text.isascii() else text.translate(_CASELESS)).lower()
-    return any(k in low for k in _ID_SIGNS) or _SHORT_LABEL.search(text) is not None
+    return next(_signs().iter(low), None) is not None or _SHORT_LABEL.search(text) is not None
+
+
+@lru_cache(1)
+def _signs():
+    """The signs as one automaton, so that a text is looked through once for all."""
+    import ahocorasick
+
+    signs = ahocorasick.Automaton()
+    for k in _ID_SIGNS:
+        signs.add_word(k, k)
+    signs.make_automaton()
+    return signs
 
 
 _ID_SHAPE = re.compile(r"(?<![\w.,/-])(?:\d{3}-\d{2}-\d{4}|[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w/-])")
@@ -205,53 +219,96 @@ _ADDRESS = re.compile(
     + r")"
 )
 
-# Given names.
+# Given names that are common in some country; one of several kinds of evidence.
 _GIVEN = frozenset(
-    """abimbola adam agnes ahmed aisha alan albert alexander alice amélie ana andrea andrew anna anne anthony anton barbara bartholomew benedikt benjamin björn brian carlos carol catherine charles
-    chidinma christine christopher claire cornelia daniel david deborah desmond diana dorothea edward eleanora elena elisabeth elizabeth emily emma eric eva felix fernanda florian frances francisco frank gabriel george giovanni giuliana grace
-    gustav hamish hans hannah helen henrike henry ibrahim ingrid ivan isolde jack jacob james jan jana jane jean jennifer joan john jonathan jorge josé josephine juan julia karen karl katarina katherine kenjiro kevin klaus laura léa leontine linda lisa
-    louis luc lucas luis manuel margaret maria marie mark martin mary matthias matthew maximilian michael mohammed nadezhda nancy nikolas octavio oliver olumide ondřej patricia paul pedro peregrine peter philippa priyanka quirin
-    raphaël rebecca richard robert ruben ruth samuel sandra sarah siobhan sofia søren stephen steven susan tamsin teodor theresa thomas tobias uchenna ulrika umberto ursula valentín vasilisa victor victoria wilhelmina william winston xiaoyun ximena yannick yevgenia yusra
-    zacharias zdenka zoë""".split()
+    """adam agnes ahmed aisha alan albert alexander alice ana andrea andrew anna anne anthony anton barbara benjamin brian carlos carol catherine charles christine christopher claire daniel david deborah diana dorothea edward
+    elena elisabeth elizabeth emily emma eric eva felix fernanda florian frances francisco frank gabriel george giovanni grace hans hannah helen henry ibrahim ingrid ivan jack jacob james jan jana jane jean jennifer joan john
+    jonathan jorge josé josephine juan julia karen karl katarina katherine kevin klaus laura linda lisa louis luc lucas luis manuel margaret maria marie mark martin mary matthew maximilian michael mohammed nancy nikolas oliver patricia
+    paul pedro peter philippa rebecca richard robert ruben ruth samuel sandra sarah sofia stephen steven susan theresa thomas tobias ursula victor victoria wilhelmina william winston""".split()
 )
 _NAME_WORD = rf"{_UP}{_LOW}+(?:['’]{_UP}?{_LOW}+)*(?:-{_UP}{_LOW}+)*|{_UP}['’]{_UP}{_LOW}+|(?:El|Al|Mac|Mc|Ben)-?{_UP}{_LOW}+"
 _PART = r"(?:(?:van|von|de|del|della|di|da|dos|du|der|den|la|le|ter|ten|bin|al|VAN|VON|DE|DEL|DI|DA|DOS|DU|DER|DEN|LA|LE)[ ]){0,3}"
 _INITIALS = rf"(?:{_UP}\.[ ]?(?:-{_UP}\.[ ]?)?){{1,3}}"
 _FAMILY = rf"{_PART}(?:{_NAME_WORD})"
-# Words that persons' names follow.
-_CUE = (
-    r"(?:\b(?:Dr|Prof|Mr|Mrs|Ms|Mx|Sra|Sr|Dott|Ing|Mme|Mlle)\.?|\b(?:Professor|Doctor|Frau|Herrn?|Monsieur|Madame|Señora?|Contact|Kontakt|Contacto|From|To|Cc|Attn|Signed|Author|Reviewer|Participant file|Patient)\s?:?"
-    r"|\b(?:Regards|Sincerely|Yours|Thanks|Cheers|Best wishes|Mit freundlichen Grüßen|Saludos|Cordialement),|\b(?:[Dd]ear|met|addressed to|letter for|next to|lists|mentionne|constan|stehen|bitte an|escriba a|écrire à|teléfono de|write to|signed by|sent by|reviewed by|thank)|联系人：|联系人:|連絡先[:：]|担当[:：]?|Контакт:)\s{0,3}"
+# Shapes of a name. Evidence around it decides whether it is one.
+_SHAPE = re.compile(
+    rf"(?<![\w@.+'’-])(?<!\b(?i:box|sec|fig|tab|app) )(?:(?P<lead>{_INITIALS}){_FAMILY}"  # J. K. Roe
+    rf"|(?:{_FAMILY}),[ ](?P<back>{_INITIALS}|(?:{_NAME_WORD})(?:[ ]{_UP}\.)*)(?![ ]{_UP}{_LOW}|[\w@-])"  # Roe, Jane K.
+    rf"|(?P<first>{_NAME_WORD})(?:[ ]{_UP}\.)*[ ](?:{_FAMILY}))(?![\w@])"  # Jane K. Roe
+)
+# Words that persons' names follow. A colon, a form of "to be" or a form of address may stand between.
+_ROLE = (
+    "author|reviewer|referee|editor|participant|participant file|patient|applicant|candidate|employee|student|pupil|client|customer|nurse|physician|colleague|supervisor|advisor|secretary|assistant|coordinator|investigator"
+    "|holder|recipient|sender|name|contact|contact person|kontakt|contacto|from|to|cc|bcc|attn|signed|undersigned|mother|father|wife|husband|son|daughter|sister|brother|widow|tenant|witness|speaker|chair"
+)
+_ROLE_BARE = "participant|participant file|patient|applicant|candidate|employee|student|client|nurse|physician|colleague|supervisor|advisor|secretary|investigator|recipient|sender|cc|bcc|attn|kontakt|contacto|mother|father|husband|daughter|sister|brother|widow"
+_ACT = (
+    "met|addressed to|letter for|next to|form lists|thank|thanks to|thanked|e-?mail|contacted|phone|invited|write to|wrote to|speak to|spoke to|on behalf of|care of|c/o|together with"
+    "|(?:noted|written|signed|sent|reviewed|prepared|submitted|reported|told|said|approved|requested|visited|treated|seen|met|filed|collected|countersigned|completed|filled in) by"
+    "|mentionne|constan|stehen|bitte an|escriba a|écrire à|contacter|teléfono de|número de|telefono di|telefone de|Nummer von"
+)
+_CUE = re.compile(
+    rf"(?:\b(?:Dr|Prof|Mr|Mrs|Ms|Mx|Sra|Sr|Dott|Ing|Mme|Mlle|Herrn?|Frau|Professor|Doctor|Monsieur|Madame|Señora?|Miss|Sir|Dame)\.?|\b(?:[Dd]ear|Hi|Hello|Liebe[r]?|Estimad[oa]|Chère?)"
+    r"|\b(?:(?:Best |Kind |Warm )?[Rr]egards|Sincerely|Yours(?: sincerely| faithfully| truly)?|Thanks|Cheers|Best wishes|Best|Mit freundlichen Grüßen|Viele Grüße|Saludos|Atentamente|Cordialement|Atenciosamente|Cordiali saluti)\s*,"
+    rf"|(?<![\w-])(?i:{_ROLE})(?:\s(?:is|was|were)|\s?[:,])|(?<![\w-])(?i:{_ROLE_BARE})|(?<![\w-])(?:{_ACT})|联系人：|联系人:|連絡先[:：]|担当[:：]?|Контакт:)\s{{0,3}}\Z"
+)
+# Words that names follow, but common words too: half as much evidence.
+_WEAK_CUE = re.compile(r"(?<![\w-])(?i:from|to|name|call|called|ask|asked|lists|son|chair|speaker|author|editor|holder|contact|by)\s{0,3}\Z")
+# What follows the name of somebody who acts or can be reached.
+_THEN = re.compile(
+    r"\s?(?:<[^<>@\s]{1,64}[@(\[]|\([^()@\s]{1,64}@)|,?\s(?:can be (?:reached|contacted)|is (?:reachable|available) (?:at|on|under)|may be (?:reached|contacted)|est joignable|atende pelo|ist (?:erreichbar|zu erreichen)|atiende en"
+    r"|(?:noted|wrote|writes|told|asked|called|phoned|signed|replied|emailed|confirmed)\b|will chair)|,?\s\(?(?i:SSN|passport|DNI|NINO|MRN|tax ID|social security|national identity|driving licen[cs]e)\b"
+    r"|\s(?:aged?|born|geboren) \d|,\s(?:born|aged?) "
+)
+_AND = re.compile(r"(?:,| and| und| y| et| e| &|, and) (?:\w{2,4}\. )?\Z")
+# Words that are no part of a person's name.
+_NO_NAME = frozenset(
+    """box street road avenue lane drive court square university institute department hospital laboratory labs lab college school faculty centre center museum library foundation society association committee council
+    group team project network agency ministry office company press journal review conference workshop proceedings january february march april may june july august september october november december monday tuesday wednesday
+    thursday friday saturday sunday the and for this that these those each future half code table figure section appendix equation theorem lemma algorithm part chapter version data dataset corpus model models method methods
+    learning neural network networks deep study studies research analysis results we our they their it its in on at by to of from with as if when while however although because since after before where which who what how
+    no not all some any most many few both either first second third north south east west new united states kingdom street platform system systems survey series rank test science sciences medicine technology""".split()
 )
-_CUED = re.compile(rf"{_CUE}((?:{_FAMILY}),[ ](?:{_INITIALS}|(?:{_NAME_WORD})(?:[ ]{_UP}\.)*)(?![ ]{_UP}{_LOW}|\w)|(?:{_INITIALS}|(?:{_NAME_WORD})[ ](?:{_UP}\.[ ]){{0,2}}){_FAMILY})(?!\w)")
-_GIVEN_FIRST = re.compile(rf"(?<![\w@.+-])((?:{_NAME_WORD})(?:[ ]{_UP}\.)*[ ](?:{_FAMILY}))(?![\w@])")
-_FAMILY_FIRST = re.compile(rf"(?<![\w@.+-])((?:{_FAMILY}),[ ]({_UP}{_LOW}+(?:-{_UP}{_LOW}+)*)(?:[ ]{_UP}\.)*)(?![ ]{_UP}{_LOW}|[\w@-])")
-_BY_INITIALS = re.compile(rf"(?<![\w@.+'’-])(?<!\b(?i:box|sec|fig|tab|app) )({_INITIALS}{_FAMILY})(?![\w@])")
-_NO_FAMILY = frozenset("box street road avenue lane drive court university institute department hospital laboratory january february march april may june july august september october november december the and for this that these each future half code".split())
 _TITLE = re.compile(r"^(?:(?:Dr|Prof|Mr|Mrs|Ms|Mx|Frau|Herrn?|Dear|Sra?|Mme)\.?\s+)+")
-
-
-def _given(word: str) -> bool:
-    return word.split("-")[0].lower() in _GIVEN
+_LETTERS = re.compile(rf"{_LOW}+")
+#: Characters ahead of a name in which a cue is looked for: more than the longest cue has.
+_BEFORE = 48
+
+
+def _evidence(text: str, m: re.Match, last: int) -> int:
+    """How much speaks for a person's name: 2 is enough. last: the end of the name before, or -1."""
+    b, e = m.span()
+    before = text[max(0, b - _BEFORE) : b]
+    said = 0
+    if m["lead"] or (m["back"] and "." in m["back"][:3]):
+        said += 2 if m["lead"] else 1
+    first = (m["first"] or m["back"] or "").split(" ")[0].split("-")[0].lower()
+    said += 2 * (first in _GIVEN)
+    said += 2 if _CUE.search(before) else 1 if _WEAK_CUE.search(before) else 0
+    if last >= 0 and last >= b - 12 and _AND.match(text[last:b]):
+        said += 2
+    if said < 2 and _THEN.match(text, e):
+        said += 2
+    if said < 2 and b and text[b - 1] == "\n" and (e == len(text) or text[e] == "\n"):  # a line of its own, as at the end of a letter
+        said += 1
+    if said == 1 and any(w.isupper() and len(w) > 2 for w in m.group().replace("-", " ").split()):
+        said += 1
+    return said
 
 
 def _names(text: str) -> Iterator[tuple[int, int]]:
-    for m in _CUED.finditer(text):
-        yield m.span(1)
-    for m in _GIVEN_FIRST.finditer(text):
-        first = re.split(r"[ ]", m.group(1))[0]
-        if _given(first):
-            yield m.span(1)
-        else:  # the second word may be the given name: "As Teodor Roe noted"
-            at = m.start(1) + len(first) + 1
-            inner = _GIVEN_FIRST.match(text, at)
-            if inner and _given(re.split(r"[ ]", inner.group(1))[0]):
-                yield inner.span(1)
-    for m in _FAMILY_FIRST.finditer(text):
-        if _given(m.group(2)):
-            yield m.span(1)
-    for m in _BY_INITIALS.finditer(text):
-        yield m.span(1)
+    at, last = 0, -1
+    while (m := _SHAPE.search(text, at)) is not None:
+        title = _TITLE.match(m.group())
+        words = [w.lower() for w in _LETTERS.findall(m.group())]
+        shaped = not title and len(words) >= 2 and _NO_NAME.isdisjoint(words)
+        if shaped and _evidence(text, m, last) >= 2:
+            yield m.span()
+            at = last = m.end()
+            continue
+        # Not this one; the next may begin at its second word: "As Teodor Roe noted".
+        step = re.compile(r"[ ,.]+").search(text, m.start(), m.end())
+        at = step.end() if step else m.end()
 
 
 def finds(text: str | None) -> list[Find]:
@@ -265,11 +322,14 @@ def finds(text: str | None) -> list[Find]:
     x = normal(text)
     t = x.text
     found: list[tuple[int, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    begins: list[int] = []  # of the spans taken so far, in order
+    ends: list[int] = []
 
     def add(rank: int, b: int, e: int) -> None:
-        if e > b and not any(b < q and p < e for p, q in taken):
-            taken.append((b, e))
+        i = bisect_left(begins, e)  # spans from here on begin behind it
+        if e > b and (i == 0 or ends[i - 1] <= b):
+            begins.insert(i, b)
+            ends.insert(i, e)
             found.append((b, e, rank))
 
     for m in _EMAIL.finditer(t) if "@" in t else ():
@@ -285,12 +345,8 @@ def finds(text: str | None) -> list[Find]:
         digits = sum(c.isdigit() for c in re.split(r"(?i)\s?(?:ext|x|dw|durch|poste|int)", m.group())[0])
         if 8 <= digits <= 15:
             add(3, *m.span())
-    for b, e in sorted(set(_names(t)), key=lambda s: (s[0], -s[1])):
-        title = _TITLE.match(t[b:e])
-        b += title.end() if title else 0
-        words = re.findall(rf"{_LOW}+", t[b:e])
-        if len(words) >= 2 and not any(w.lower() in _NO_FAMILY for w in words):
-            add(4, b, e)
+    for b, e in _names(t):
+        add(4, b, e)
     return sorted(Find(KINDS[rank], *x.source(b, e)) for b, e, rank in found)
 
 

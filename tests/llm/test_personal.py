@@ -83,3 +83,65 @@ def test_every_written_dot_is_found(dot):
 @pytest.mark.parametrize("between", [" ", "\n", "\t", "-", "", ":", ": ", "#", "=", " is ", "  no. ", " nr. "])
 def test_every_short_label_is_found(label, between):
     assert got(f"kept {label}{between}046454286.") in ([("id_number", "046454286")], [("id_number", "-046454286")])
+
+
+def invented(n: int) -> list[tuple[str, str]]:
+    """Given and family names that are in no list, of many sounds."""
+    import random
+
+    from folioflow.llm.personal import _GIVEN
+
+    rng = random.Random(20)
+    heads, tails = "Hiro Pri Arj Oluw Mei Tak Ngoz Sver Yael Dmit Kwab Anj Thab Luci Zor Eir".split(), "shi ya un aseun lin umi i re itri ena ali mila iana ana ik wen".split()
+    family = "Tan Ram Meh Aday Okon Lind Vasq Ferr Nak Petr Gold Mbe Sing Osm Kov Haug".split()
+    ends = "aka an ta emi kwo strom uez ari amura ov berg ki hu an acs en".split()
+    out = []
+    while len(out) < n:
+        given, fam = rng.choice(heads) + rng.choice(tails), rng.choice(family) + rng.choice(ends)
+        if given.lower() not in _GIVEN:
+            out.append((given, fam))
+    return out
+
+
+def test_invented_names_are_found_by_what_stands_around_them():
+    from folioflow.llm.personal import finds
+
+    frames = [
+        "Contact is {n}.", "Signed, {n}", "The patient {n} was seen twice.", "As noted by {n}, it holds.", "Dear {n}, thank you.", "From: {n} <x@site.example>", "We thank {n} for help.", "Regards,\n{n}\n", "Prof. {n} spoke.",
+        "{n} can be reached on +1 212 555 0100.", "Reviewer: {n}", "I met {n} at the seminar.", "The form was completed by {n} today.", "Please write to {n} about it.", "{n} noted in an e-mail that it holds.",
+    ]
+    hit, shapes = 0, ("{g} {f}", "{f}, {g}", "{g} K. {f}", "{g} {F}")
+    names = invented(200)
+    for i, (g, f) in enumerate(names):
+        name = shapes[i % 4].format(g=g, f=f, F=f.upper())
+        text = frames[i % len(frames)].format(n=name)
+        hit += ("name", name) in {(x.kind, text[x.begin : x.end]) for x in finds(text)}
+    assert hit >= 0.9 * len(names), hit
+    for g, f in names[:50]:  # two capital words alone are no name
+        assert not finds(f"The {g} {f} benchmark has more rows than {g} {f} of last year.")
+
+
+def test_finds_take_time_in_proportion_to_the_text():
+    import time
+
+    from folioflow.llm.personal import finds
+
+    line = "Write to jane@site.example or to joe (at) other.example today.\n"
+
+    def seconds(n):
+        began = time.process_time()
+        assert len(finds(line * n)) == 2 * n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 20 * max(0.02, seconds(2_000))
+
+
+def test_edits_after_edits_map_back_to_the_source():
+    from folioflow.llm.personal import Normal
+
+    x = Normal("abcdefghij")
+    x.edit([(2, 4, "XYZ"), (6, 7, "")])
+    assert x.text == "abXYZefhij" and [x.source(i, i + 1) for i in (0, 2, 5, 7)] == [(0, 1), (2, 4), (4, 5), (7, 8)]
+    x.edit([(1, 3, "-"), (8, 10, "Q")])
+    assert x.text == "a-YZefhQ" and x.source(1, 2) == (1, 4) and x.source(7, 8) == (8, 10) and x.source(0, 8) == (0, 10)
