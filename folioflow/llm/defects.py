@@ -55,25 +55,45 @@ _QUOTED = re.compile(r"[\"“„][^\"”“]{0,200}[\"”“]")
 _SELF = re.compile(r"(?i:(?<![\w'’.-])(?:me|my|i['’](?:m|d|ll|ve)|sorry|apologies|apologi[sz]e)(?![\w-]))|(?<![\w.'’-])I(?![\w.-])")
 _JOINING = frozenset("a an the of and or to in is are for that on with by as at from this which how when can be has have its their both than not no into over under works makes makes".split())
 
-# Parts that refusals are made of.
-_OPEN = (
-    "I'm sorry, but", "I am sorry, but", "Sorry,", "Sorry, but", "Unfortunately,", "Regrettably,", "Apologies -", "My apologies;", "As an AI language model,", "As an AI,", "As an assistant,",
-    "Note:", "Hmm,", "Thank you for sharing this, however", "Thank you for sharing this paper, however", "Sure! Before I begin:", "I apologize, but", "I appreciate the question, but", "", "", "", "",
+# The parts that refusals are put together from at random: {v} a verb, {g} its gerund, {o} what was asked for, {x} a kind of text, {t} the topic, {y} too little.
+_SORRY = (
+    "", "", "", "", "Sorry to say,", "Sorry but", "So sorry:", "Apologies, though", "My apologies, but", "I do apologise;", "Unfortunately", "Regrettably", "Alas,", "I fear", "Thank you, but", "Thanks for the {x}, but",
+    "As an assistant", "As an AI model", "Being an AI", "Being a language model", "To be honest,", "Before anything else:", "Of course, yet", "Well,",
 )
-_NO = (
-    "I can't help with that", "I cannot help with this request", "I can't comply with that", "I am unable to summarise this {x}", "I'm not able to condense the material on {t}", "I cannot provide a summary of this {x}",
-    "I am unable to access the {x} you mention", "I do not have access to the {x}", "I don't have enough of the text to say what it claims", "I do not have enough information to answer",
-    "no {x} was provided, so I cannot summarise it", "no {x} was handed to me, so nothing can be summarised", "the {x} text is missing; I will not invent a summary", "it looks like the {x} is missing, so I can't summarise it",
-    "I must decline to describe work involving {t}", "I must decline this request", "I have to pass on this item", "I won't be writing a summary for this one", "I won't be writing a TLDR for this one", "I'd rather not speculate about the {x}'s content",
-    "it would not be appropriate for me to summarise this content", "this request goes against the guidelines I follow", "this content violates my usage policy", "summarising {t} studies is outside what I can do",
-    "providing an account of the {t} work isn't possible for me", "I'd need more than a title to say anything about {t}", "I do not answer prompts of this kind", "please note that I cannot answer questions like this",
-    "can't do that one", "I could not generate an answer", "I was not able to produce a summary", "I'm afraid I can't do that", "that is not something I can assist with", "answering this is beyond my abilities",
+_CLAUSE = (
+    "I cannot {v} {o}", "I can't {v} {o}", "I can not {v} {o} here", "I am not able to {v} {o}", "I'm unable to {v} {o}", "I am unable to {v} any {x}", "I was unable to {v} {o}", "I could not {v} {o}", "I will not {v} {o}",
+    "I won't {v} {o}", "I would rather not {v} {o}", "I'd rather not {v} the {x}", "I must decline to {v} {o}", "I have to decline {o}", "I decline to {v} {o}", "I do not {v} {o}", "I don't {v} such a {x}",
+    "I have to pass on {o}", "I have no access to {o}", "I do not have the {x} itself", "I don't have the information to {v} {o}", "I do not have enough of it to {v} {o}", "I would need more of the {x} to {v} {o}",
+    "I'd need the {x} in full to {v} it", "I can't say anything of {t}", "it isn't possible for me to {v} {o}", "it is not something I can {v}", "it would not be right for me to {v} {o}", "it would be inappropriate to {v} {o}",
+    "this is outside of what I can {v}", "this is beyond what I am able to {v}", "there was no {x} provided that I could {v}", "no {x} was given, so there is nothing to {v}", "the {x} seems to be missing, so I can't {v} it",
+    "nothing was provided that can be summarised", "the {x} is missing, and I will not invent one", "guidelines that I follow do not let me {v} {o}", "my policy does not permit me to {v} {o}", "answering would violate the usage guidelines",
+    "can't {v} {o}", "cannot {v} it", "won't {v} {o}", "unable to {v} {o}", "{g} {o} isn't possible for me", "{g} {o} is not possible here", "{g} things like {t} isn't what I do", "I'd need more than {y} to {v} {o}", "I would need more than {y} for {t}",
+    "{y} is not enough for me to {v} {o}", "with {y} only I can't tell anything about {t}", "there is nothing that I could {v} here", "requests like these are against my policy", "studies of {t} are a thing I can't {v}", "work on {t} is something I must decline to {v}", "please note that I can't {v} {o}", "I refuse to {v} {o}", "I'm afraid that I can't {v} {o}",
 )
-_CURT = (
-    "Request declined: the input touches on restricted material", "[response withheld by safety layer]", "Summary unavailable - the model chose not to answer", "Sorry", "Answer withheld", "The model refused to answer this request",
-    "[content filtered]", "Response blocked by the content filter", "I cannot answer", "No summary could be generated for this input", "Unable to comply",
+_VERB = ("answer", "summarise", "summarize", "describe", "provide", "discuss", "condense", "comment on", "write", "produce", "help with", "assist with", "comply with", "process", "speculate about", "generate", "do", "access", "give an account of")
+_DOING = ("answering", "summarising", "describing", "providing", "condensing", "writing", "producing", "judging", "reviewing", "giving", "discussing")
+_LITTLE = ("this", "a heading", "a few words", "the name of it", "a title", "so little", "what is here", "one line")
+_ASKED = (
+    "any of this", "a question of this kind", "questions like that", "the {x} in question", "this {x} of yours", "the content of such a {x}", "a summary for it", "a TLDR of the {x}", "any summary here", "what you request", "that sort of request",
+    "the work on {t}", "matters of {t}", "material about {t}", "this particular one", "one for this item", "this prompt", "that",
 )
-_END = ("", "", "", " at this time", "; please consult the authors instead", ". Please paste the full text and ask again", ". Let me know if I can help with something else", ". Please try again later")
+_BRIEF = (
+    "Declined: the {x} is restricted", "Refused", "Withheld", "No reply: blocked by a safety filter", "Answer filtered", "Output blocked", "Summary withheld for safety", "The assistant refused", "The model declined to answer it",
+    "Response filtered: restricted content", "Unable to answer", "Cannot comply", "Request refused", "No summary generated", "Summary not available: the model declined", "Filtered by policy", "Sorry, no", "Sorry!",
+)
+_CLOSING = ("", "", "", "", " just now", " at present", "; ask the authors instead, please", ". Please send the complete text", ". Do paste the full {x} and ask once more", ". I can help with other things", ". Please try later on")
+_KIND = ("paper", "abstract", "document", "manuscript", "text", "article", "input")
+
+
+def refusal(topic: str, rng: random.Random) -> str:
+    """A refusal made by the grammar above."""
+    fill = {"t": topic, "x": rng.choice(_KIND)}
+    if rng.random() < 0.15:
+        said = rng.choice(_BRIEF).format(**fill)
+        return rng.choice(("{}.", "{}", "[{}]", "({})")).format(said)
+    said = rng.choice(_CLAUSE).format(v=rng.choice(_VERB), g=rng.choice(_DOING), y=rng.choice(_LITTLE), o=rng.choice(_ASKED).format(**fill), **fill)
+    start = rng.choice(_SORRY).format(**fill)
+    return (f"{start} {said}" if start else said[0].upper() + said[1:]) + rng.choice(_CLOSING).format(**fill) + "."
 
 
 # Sentences in other languages, so that a sample without any still teaches what they look like.
@@ -278,16 +298,15 @@ def broken(pairs: list[tuple[str | None, str | None, str]], rng: random.Random)
             out.append(((t, said, rng.choice(labels) + take), {"copy"}))
         topic = " ".join((t or "this work").split()[-4:-1]).lower()
         if rng.random() < 0.6:
-            if rng.random() < 0.15:
-                text = rng.choice(_CURT) + rng.choice((".", ""))
-            else:
-                text = rng.choice(_NO).format(x=rng.choice(("paper", "abstract", "document", "manuscript", "text")), t=topic)
-                start = rng.choice(_OPEN)
-                text = (start + " " + text if start else text[0].upper() + text[1:]) + rng.choice(_END) + "."
+            text = refusal(topic, rng)
             out.append(((t, x, text), {"refusal"}))
         if strange and rng.random() < 0.5:
             sentences = [s for s in _SENTENCE.split(re.sub(r"^\s*announce type[^\n]*\n\s*(?:abstract:)?", "", rng.choice(strange), flags=re.I)) if s.strip()]
             text = " ".join(rng.sample(sentences, min(len(sentences), rng.randint(1, 3))))
+            if rng.random() < 0.3:  # terms of the field stay English in texts of any language
+                words = text.split(" ")
+                at = rng.randrange(len(words))
+                text = " ".join([*words[:at], *topic.split()[:2], *words[at:]])
             if _is_foreign(text):
                 out.append(((t, x if x and not _is_foreign(x) else None, rng.choice(labels) + text), {"other_language"}))
         if rng.random() < 0.15:
@@ -310,25 +329,30 @@ def _is_foreign(text: str) -> bool:
 
 def _learn(rows: list[list[int]], wanted: np.ndarray, rng: np.random.Generator, passes: int = 10, size: int = 1024, rate: float = 0.1, decay: float = 3e-6) -> np.ndarray:
     """Logistic regression for every label at once, by Adam on mini-batches."""
-    w = np.zeros((DIMS, wanted.shape[1]))
+    labels = wanted.shape[1]
+    lengths = np.array([len(r) for r in rows])
+    starts = np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)
+    used, places = np.unique(np.concatenate([np.array(r, np.int64) for r in rows]), return_inverse=True)  # features that occur
+    w = np.zeros((len(used), labels), np.float32)
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
-    rows = [np.array(r) for r in rows]
     for _ in range(max(passes, 400 * size // max(size, len(rows)))):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), size):
             ids = order[lo : lo + size]
-            flat = np.concatenate([rows[i] for i in ids])
-            lengths = np.array([len(rows[i]) for i in ids])
-            starts = np.r_[0, np.cumsum(lengths)[:-1]]
-            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[flat], starts, axis=0), -30, 30)))
-            error = np.repeat((p - wanted[ids]) / len(ids), lengths, axis=0)
-            g = decay * w
-            for k in range(w.shape[1]):
-                g[:, k] += np.bincount(flat, weights=error[:, k], minlength=DIMS)
+            n = lengths[ids]
+            begins = np.r_[0, np.cumsum(n)[:-1]]
+            flat = places[np.repeat(starts[ids] - begins, n) + np.arange(n.sum())]
+            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[flat], begins, axis=0), -30, 30)))
+            error = np.repeat((p - wanted[ids]) / len(ids), n, axis=0)
+            cells = (flat[:, None] * labels + np.arange(labels)).ravel()
+            g = decay * w + np.bincount(cells, weights=error.ravel(), minlength=w.size).reshape(w.shape).astype(np.float32)
             step += 1
             m = 0.9 * m + 0.1 * g
             v = 0.99 * v + 0.01 * g * g
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    whole = np.zeros((DIMS, labels), np.float32)
+    whole[used] = w
+    w = whole
     return w
 
 
@@ -343,7 +367,7 @@ def _calibrated(p: np.ndarray, wanted: np.ndarray, weight: np.ndarray) -> np.nda
             good = (weight * (hit & (wanted[:, k] > 0))).sum()
             scores.append(2 * good / max(1e-9, (weight * hit).sum() + (weight * wanted[:, k]).sum()))
         top = np.flatnonzero(np.array(scores) >= max(scores) - 1e-9)
-        best[k] = min(0.65, max(0.2, float(np.median(tried[top]))))
+        best[k] = float(np.median(tried[top]))
     return best
 
 

@@ -68,3 +68,43 @@ def test_all_words_of_a_response_are_features():
     topic = " ".join(f"word{i}" for i in range(40))
     one, two = (set(features(None, None, f"{topic} {said} at all.", known=frozenset())) for said in ("nothing was provided", "results were printed"))
     assert len(one - two) >= 4 and len(two - one) >= 4
+
+
+def test_refusals_share_no_sentence_with_the_tables(spark):
+    """What the classifier learns refusals from is none of the tables' own wording."""
+    import random
+
+    from folioflow.llm.defects import _SENTENCE, core, refusal
+
+    said = [r[0] for r in spark.read.parquet("/root/testdata/sf0.1/papers.parquet").where("tldr is not null").select("tldr").collect()]
+    theirs = {s.strip().lower() for x in said for s in _SENTENCE.split(core(x)) if len(s.split()) > 2}
+    rng = random.Random(1)
+    made = {refusal("graph models here", rng) for _ in range(10_000)}
+    assert not [r for r in made if any(s.strip().lower() in theirs for s in _SENTENCE.split(r))] and len(made) > 5_000
+
+
+def test_held_out_defects_are_found_with_calibrated_thresholds(spark):
+    """Recall of each kind on defects made of pairs that the model has not seen, and few false ones among the sound."""
+    import random
+
+    from folioflow.llm.defects import LABELS, broken, sample, train
+
+    papers = spark.read.parquet("/root/testdata/sf0.1/papers.parquet").selectExpr("paper_id as id", "title", "abstract as prompt", "tldr as response")
+    pairs = sample(papers, 3000)
+    model = train(pairs[:2000])
+    clean = [x for x in pairs[2000:] if model.defects([x]) == [None]]
+    made = broken(clean, random.Random(5))
+    got = model.defects([x for x, _ in made])
+    for label in LABELS:
+        of = [g for g, (_, d) in zip(got, made) if label in d]
+        assert sum(g is not None for g in of) >= 0.9 * len(of), label
+    sound = [g for g, (_, d) in zip(got, made) if not d]
+    assert sum(g is None for g in sound) >= 0.95 * len(sound)
+
+
+def test_a_refusal_behind_many_words_is_seen(spark):
+    from folioflow.llm.defects import features
+
+    long = " ".join(["the method is of use in the field"] * 12)
+    one, two = features("t", "p", long + " and it holds."), features("t", "p", long + " but I cannot answer.")
+    assert len(set(one) ^ set(two)) >= 6
