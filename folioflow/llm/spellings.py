@@ -38,6 +38,16 @@ SHORT_GIVEN = {
     "vasya": "vasilisa", "vicky": "victoria", "zack": "zacharias", "zhenya": "yevgenia",
 }
 
+SHORT_GIVEN |= {
+    "al": "albert", "andy": "andrew", "drew": "andrew", "annie": "anne", "beth": "elizabeth", "becky": "rebecca", "cathy": "catherine", "charlie": "charles", "chuck": "charles", "cindy": "cynthia", "debbie": "deborah", "dick": "richard",
+    "don": "donald", "doug": "douglas", "eddie": "edward", "fran": "frances", "frank": "francis", "fred": "frederick", "gene": "eugene", "geoff": "geoffrey", "greg": "gregory", "hank": "henry", "harry": "henry", "jack": "john", "jeff": "jeffrey",
+    "jenny": "jennifer", "jerry": "gerald", "joe": "joseph", "ken": "kenneth", "larry": "lawrence", "len": "leonard", "mick": "michael", "molly": "mary", "ned": "edward", "pat": "patricia", "pete": "peter", "phil": "philip", "ray": "raymond",
+    "ron": "ronald", "sally": "sarah", "sandy": "alexander", "stan": "stanley", "ted": "theodore", "terry": "terence", "tim": "timothy", "val": "valerie", "walt": "walter", "wes": "wesley",
+}
+LONG_GIVEN: dict[str, set[str]] = {}
+for _short, _long in SHORT_GIVEN.items():
+    LONG_GIVEN.setdefault(_long, set()).add(_short)
+
 # Words of organisations' names in other languages and short forms.
 ORG_WORDS = {
     "univ": "university", "uni": "university", "u": "university", "universitat": "university", "universite": "university", "universidad": "university", "universita": "university", "universidade": "university", "universiteit": "university",
@@ -151,14 +161,17 @@ def near_words(words: Iterable[str]) -> dict[str, set[str]]:
     by: dict[str, list[str]] = {}
     near: dict[str, set[str]] = {}
     for w in sorted(set(words)):
-        if len(w) > 40:  # a word that long is no name; it is compared as a whole
+        if len(w) > 40:  # of a long word pieces are taken: with at most two slips one of beginning, middle and end stays whole
+            mid = len(w) // 2 - 5
+            for v in (w[:10], w[-10:], *(w[i : i + 10] for i in range(mid - 3, mid + 4))):
+                by.setdefault(f"{v}/", []).append(w)
             continue
         for v in _shortened(w, 2 if len(w) >= 8 else 1):
             by.setdefault(v, []).append(w)
     for group in by.values():
         for i, w in enumerate(group):
             for x in group[i + 1 :]:
-                if x not in near.get(w, ()) and _near(w, x):
+                if x != w and x not in near.get(w, ()) and _near(w, x):
                     near.setdefault(w, set()).add(x)
                     near.setdefault(x, set()).add(w)
     return near
@@ -241,45 +254,81 @@ def short_match(short: Profile, full: Profile) -> int:
     return int(by_name and any(_near(x, y) for x in short.families for y in full.families))
 
 
+def _heads(p: Profile) -> set[str]:
+    """First parts of the full given names."""
+    return {f.split("-")[0] for f in p.firsts}
+
+
+def _beside(word: str) -> set[str]:
+    """The given names that a word stands for, or that stand for it."""
+    return {word, *LONG_GIVEN.get(word, ()), *([SHORT_GIVEN[word]] if word in SHORT_GIVEN else [])}
+
+
+class _Families:
+    """The full profiles of a block by family name and by what begins their given names, so that only likely ones are met."""
+
+    def __init__(self, block: list[Profile]):
+        self.near = near_words(f for p in block for f in p.families)
+        self.given = near_words(h for p in block for h in _heads(p))
+        self.by_given: dict[tuple[str, str], list[Profile]] = {}
+        self.by_initial: dict[tuple[str, str], list[Profile]] = {}
+        self.by_nick: dict[tuple[str, str], list[Profile]] = {}
+        for p in block:
+            for f in p.families if p.firsts else ():
+                for h in _heads(p):
+                    self.by_given.setdefault((f, h), []).append(p)
+                for c in {x[0] for x in (*p.firsts, *p.nicks) if x}:
+                    self.by_initial.setdefault((f, c), []).append(p)
+                for n in p.nicks:
+                    self.by_nick.setdefault((f, n), []).append(p)
+
+    def _names(self, p: Profile) -> set[str]:
+        return {n for f in p.families for n in (f, *self.near.get(f, ()))}
+
+    def like(self, p: Profile) -> list[Profile]:
+        """Those that full_match() may accept."""
+        heads = {x for h in _heads(p) for g in (h, *self.given.get(h, ())) for x in _beside(g)} | {x for h in _heads(p) for x in _beside(h)}
+        met = [q for f in self._names(p) for h in heads for q in self.by_given.get((f, h), ())]
+        for f in p.families:
+            for n in p.nicks:
+                met += self.by_given.get((f, n.split("-")[0]), ())
+            for x in p.firsts:
+                met += self.by_nick.get((f, x), ())
+        return list({q.root: q for q in met}.values())
+
+    def fitting(self, p: Profile) -> list[Profile]:
+        """Those that short_match() may accept for initials."""
+        return list({q.root: q for f in self._names(p) for c in {i[0] for i in p.initials} for q in self.by_initial.get((f, c), ())}.values())
+
+
 def merge_persons(block: list[Profile]) -> Iterator[tuple[int, int]]:
     """Pairs of roots in a block to be merged."""
     full = sorted((p for p in block if p.firsts), key=lambda p: (-p.seen, p.root))
     short = [p for p in block if not p.firsts and p.initials]
-    by_family: dict[str, list[Profile]] = {}
-    for p in full:
-        for f in p.families:
-            by_family.setdefault(f, []).append(p)
-    near = near_words(f for p in block for f in p.families)
-
-    def around(p: Profile) -> list[Profile]:
-        names = {n for f in p.families for n in (f, *near.get(f, ()))}
-        return list({q.root: q for n in names for q in by_family.get(n, ())}.values())
-
-    joined: set[frozenset[int]] = set()
+    known = _Families(block)
     for p in full:
-        for q in around(p):
-            if q.root > p.root and frozenset((p.root, q.root)) not in joined and full_match(p, q):
-                joined.add(frozenset((p.root, q.root)))
+        for q in known.like(p):
+            if q.root > p.root and full_match(p, q):
                 yield p.root, q.root
+    fitting = {p.root: [(short_match(p, q), q) for q in known.fitting(p)] for p in short}
     for p in short:
-        fits = [(short_match(p, q), q) for q in around(p)]
-        best = max((m for m, _ in fits), default=0)
-        those = [q for m, q in fits if m == best] if best else []
+        best = max((m for m, _ in fitting[p.root]), default=0)
+        those = [q for m, q in fitting[p.root] if m == best] if best else []
         # Of several fitting entities none is meant for sure, unless they are spellings about to be merged.
         if those and all(len(those) == 1 or q is those[0] or full_match(those[0], q) for q in those):
             yield p.root, those[0].root
     # The same initials of one family without any full name to tell them apart.
     plain: dict[tuple[str, str], list[Profile]] = {}
     for p in short:
-        for f in p.families:
-            for i in p.initials:
-                plain.setdefault((f, _initials(i)[0]), []).append(p)
+        if not any(m > 1 for m, _ in fitting[p.root]):
+            for f in p.families:
+                for i in p.initials:
+                    plain.setdefault((f, _initials(i)[0]), []).append(p)
     for group in plain.values():
-        group = [p for p in sorted(group, key=lambda p: p.root) if not any(short_match(p, x) > 1 for x in around(p))]
         # Those that share a middle initial are one; those without any join them where there is one such set.
         classes: list[tuple[set[str], Profile]] = []
         bare: Profile | None = None
-        for p in group:
+        for p in sorted(group, key=lambda p: p.root):
             if not p.middles:
                 if bare is not None:
                     yield bare.root, p.root
@@ -333,15 +382,33 @@ def merge_organisations(block: list[tuple[int, list[frozenset[str]]]]) -> Iterat
                 yield root, first[b]
 
 
-def _block_keys(kind: str, words: set[str], tail: int) -> set[int]:
+def _block_keys(kind: str, words: set[str], tail: int, givens: Iterable[str] = ("",)) -> set[int]:
+    """The blocks of a profile: pieces of its telling words that a slip leaves alone, each with each of `givens`, which split a hot block."""
     out = set()
     for w in words:
         w = re.sub(r"[^\w]", "", w)
-        for k in (w[:4], "." + w[-tail:], "/" + "".join(sorted(set(w)))):
-            out.add(xxhash.xxh3_64_intdigest(f"{kind} {k}") - (1 << 63))
+        pieces = [w[:4], "." + w[-tail:], "/" + "".join(sorted(set(w)))]
+        if len(w) < tail + 4:  # a slip may be in both the beginning and the end
+            pieces += [f"{w[:2]}~{w[-2:]}", "_" + w[-3:], "^" + w[:3]]
+        for k in pieces:
+            for g in givens:
+                out.add(xxhash.xxh3_64_intdigest(f"{kind} {k}{g}") - (1 << 63))
     return out
 
 
+def _given_keys(forms: list[dict]) -> set[str]:
+    """What splits the block of a family: the initials that a person's given names and nicknames have, and the last letters of full ones, which a slip in the first letter leaves alone."""
+    out = set()
+    for f in forms:
+        first = f["given"][0] if f["given"] else ""
+        for w in (first.split("-")[0], *f["nicks"]):
+            for x in _beside(w) if w else ():
+                out.add(f" {x[0]}")
+        if len(first) > 1 and "." not in first:
+            out.add(f" ..{first.split('-')[0][-2:]}")
+    return out or {" "}
+
+
 def _grouped(rows: DataFrame, work: Callable[[int, list[dict]], Iterator[tuple[int, int]]], columns: list[str]) -> DataFrame:
     """a, b: what `work` yields for each block. rows: block, root and columns; sorted by block, read as a stream."""
 
@@ -371,16 +438,26 @@ def _grouped(rows: DataFrame, work: Callable[[int, list[dict]], Iterator[tuple[i
     return rows.repartition(parts, "block").sortWithinPartitions("block", "root").select("block", "root", *columns).mapInArrow(run, "a long, b long").distinct()
 
 
-def _rounds(spellings: DataFrame, blocks: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], most_rounds: int = 6) -> DataFrame:
-    """spellings (id, ...) with `root`, the smallest id of the merged profile; repeated until nothing merges."""
+def _rounds(spellings: DataFrame, blocks: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """spellings (id, ...) with `root`, the smallest id of the merged profile; repeated until nothing merges.
+
+    After the first round only merged profiles enter the blocks again, and only
+    blocks that one of them is in are looked at. Every round leaves fewer
+    profiles, so it ends.
+    """
     state = cut(spellings.withColumn("root", F.col("id")))
-    for _ in range(most_rounds):
-        links = cut(merge(blocks(state)))
+    placed = cut(blocks(state))
+    touched = placed
+    while True:
+        links = cut(merge(touched))
         if links.isEmpty():
-            break
-        roots = components(links).select(F.col("node").alias("root"), F.col("root").alias("new"))
+            return state
+        roots = cut(components(links).select(F.col("node").alias("root"), F.col("root").alias("new")))
         state = cut(state.join(roots, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
-    return state
+        changed = roots.select(F.col("new").alias("root")).distinct()
+        fresh = cut(blocks(state.join(changed, "root", "left_semi")))
+        placed = cut(placed.join(roots.select("root"), "root", "left_anti").unionByName(fresh))
+        touched = placed.join(fresh.select("block").distinct(), "block", "left_semi")
 
 
 def link_persons(names: DataFrame, column: str) -> DataFrame:
@@ -427,7 +504,7 @@ def link_persons(names: DataFrame, column: str) -> DataFrame:
             for batch in batches:
                 keys, at = [], []
                 for i, forms in enumerate(batch.column(1).to_pylist()):
-                    for k in sorted(_block_keys("family", {f["family"] for f in forms}, 6)):
+                    for k in sorted(_block_keys("family", {f["family"] for f in forms}, 6, _given_keys(forms))):
                         keys.append(k)
                         at.append(i)
                 part = batch.take(pa.array(at, pa.int64()))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm.queries_spellings import p3_found
 from folioflow.llm.spellings import link_organisations, link_persons, organisation, person, spelling_pairs
@@ -73,3 +74,54 @@ def test_initials_between_conflicting_ones_are_linked():
         assert groups(order) == {frozenset(range(3))}
     for order in permutations([("z", "m"), ("z", "c"), ("z",)]):
         assert groups(order) == {frozenset([i]) for i in range(3)}
+
+
+def test_many_profiles_of_one_family_take_little_time():
+    """A common family name with 8,000 people, each typed in two ways: time in proportion, not with the square."""
+    import random
+    import time
+
+    from folioflow.llm.spellings import Person, merge_persons, person_profile
+
+    def seconds(n):
+        rng = random.Random(3)
+        firsts = {"".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(5)) for _ in range(n)}
+        block = []
+        for i, f in enumerate(sorted(firsts)):
+            block.append(person_profile(2 * i, [(Person("okonkwo", (f,), ()), 1)]))
+            block.append(person_profile(2 * i + 1, [(Person("okonkwo", (f, "k."), ()), 1)]))
+        began = time.process_time()
+        links = set(merge_persons(block))
+        assert {(2 * i, 2 * i + 1) for i in range(len(firsts))} <= links
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(8000) < 8 * max(0.2, seconds(2000))
+
+
+def test_merging_goes_on_until_nothing_merges(spark):
+    """A chain in which each merge makes the next one possible, longer than six rounds."""
+    from folioflow.lineage import cut
+    from folioflow.llm.spellings import _rounds
+
+    n = 9  # profile i may join the profile that holds 0 .. i - 1 only
+    names = cut(spark.createDataFrame([(i, i) for i in range(n)], "id long, mark long"))
+
+    def blocks(state):
+        return state.groupBy("root").agg(F.max("mark").alias("top"), F.min("mark").alias("low")).select(F.lit(1).cast("long").alias("block"), "root", "top", "low")
+
+    def merge(rows):
+        a = rows.select(F.col("root").alias("a"), F.col("top"), F.col("low").alias("a_low")).where("a_low = 0")
+        return a.join(rows.select(F.col("root").alias("b"), F.col("low")), F.col("low") == F.col("top") + 1).select("a", "b")
+
+    assert {r.root for r in _rounds(names, blocks, merge).collect()} == {0}
+
+
+def test_slips_in_short_families_and_long_words(spark):
+    from folioflow.llm.spellings import link_persons, near_words
+
+    names = ["Anna Schmidt", "Anna Schnidt", "Robert Smith", "Smyth, Robert", "Maria Kolb", "Maria Kolbe", "Peter Lang", "Petra Lang"]
+    got = {r.name: r.entity for r in link_persons(spark.createDataFrame([(n,) for n in names], "name string"), "name").collect()}
+    assert got["Anna Schmidt"] == got["Anna Schnidt"] and got["Robert Smith"] == got["Smyth, Robert"] and got["Peter Lang"] != got["Petra Lang"]
+    long = "abcdefghij" * 5
+    assert near_words([long, long[:3] + "x" + long[4:], long[:-2] + "y"])[long] == {long[:3] + "x" + long[4:], long[:-2] + "y"}
