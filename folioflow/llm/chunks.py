@@ -4,9 +4,11 @@ A rolling hash over the characters marks landmarks. From the start of a piece on
 the first landmark between the least and the most size is taken, and the cut
 snaps to the natural boundary nearest to it; a paragraph's end counts as nearer
 than a sentence's, and that as nearer than a space. As landmarks depend on the
-characters around them only, an edit changes the pieces near it, and the cuts
-after the next common landmark are the same as before. Where there is no natural
-boundary the landmark itself is the cut, and without one the most size.
+characters around them only, an edit changes the pieces near it, and once a cut
+falls on the same place as before all later ones do, but the last two. Where there is no natural
+boundary between the sizes the landmark itself is the cut; without one too the
+last natural boundary before the least size, and without any the most size. The
+last piece is kept from being under the least size by an earlier cut before it.
 """
 
 from __future__ import annotations
@@ -84,6 +86,9 @@ def cuts(text: str, most: int, overlap: int) -> list[tuple[int, int, bool]]:
         top = begin + most
         first = max(start, overlap) + 1  # a piece is longer than what it shares
         low = min(top, max(first, start + int((top - start) * LEAST)))
+        least = int((most - overlap) * LEAST)
+        if n - top < least:  # the rest would be a piece under the least size
+            top = max(low, n - least)
         marks = np.flatnonzero(landmark[low : top + 1])
         aim = low + int(marks[0]) if len(marks) else top
         s = strength[low : top + 1]
@@ -93,7 +98,7 @@ def cuts(text: str, most: int, overlap: int) -> list[tuple[int, int, bool]]:
             end, natural = low + int(best[np.argmin(away)]), True
         else:
             earlier = np.flatnonzero(strength[first:low] > 0)
-            if len(earlier):
+            if len(earlier) and not len(marks):
                 end, natural = first + int(earlier[-1]), True
             else:
                 end, natural = aim, False

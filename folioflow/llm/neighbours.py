@@ -23,8 +23,8 @@ from pyspark.sql import Window as W
 
 from folioflow.lineage import cut
 
-#: Bound of the sample that centroids are fitted on and probes are measured on.
-FIT_ROWS = 20_000
+#: Bound of the sample that centroids are fitted on and probes are measured on, and of the lists; each list has 16 rows of the sample at least.
+FIT_ROWS, MOST_LISTS = 65_536, 4_096
 #: Dimensions of a column block, and the width of the test in standard deviations.
 BLOCK, WIDTH = 16, 2.4
 #: Lists of the first pass, and the share of true neighbours that the probed lists of a sample hold.
@@ -52,25 +52,39 @@ def unit(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at)[good], m[good] / length[good, None]
 
 
-def fit(sample: np.ndarray, k: int, seed: int = 5, n_lists: int | None = None, rounds: int = 12) -> Lists:
-    """Centroids by k-means on a sample of unit vectors; the probes that a tenth of it needs for SHARE."""
-    rng = np.random.default_rng(seed)
-    n, dim = sample.shape
-    rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-    if n == 0:
-        return Lists(rotation, np.zeros((1, dim)), 1)
-    x = sample @ rotation
-    lists = n_lists or max(1, min(256, int(np.sqrt(n))))
-    centroids = x[rng.choice(n, lists, replace=False)]
+def k_means(x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
+    """Centroids of unit length; an emptied one starts anew at a row drawn at random."""
+    centroids = x[rng.choice(len(x), lists, replace=False)]
     for _ in range(rounds):
         home = nearest_lists(x, centroids, 1)[:, 0]
         sums = np.zeros_like(centroids)
         np.add.at(sums, home, x)
-        count = np.bincount(home, minlength=lists)
-        empty = count == 0
-        sums[empty] = x[rng.choice(n, int(empty.sum()))]
+        empty = np.bincount(home, minlength=lists) == 0
+        sums[empty] = x[rng.choice(len(x), int(empty.sum()))]
         length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         centroids = sums / np.where(length > 0, length, 1)
+    return centroids
+
+
+def fit(sample: np.ndarray, k: int, seed: int = 5, n_lists: int | None = None, n_rows: int | None = None) -> Lists:
+    """Centroids by k-means on a sample of unit vectors; the probes that 400 rows of it need for SHARE.
+
+    There are as many lists as the root of n_rows, all the rows that will be put
+    into them, so a list and the number of lists grow alike. They are fitted at
+    two levels: a few groups, and in each as many lists as its share of the rows.
+    """
+    rng = np.random.default_rng(seed)
+    n, dim = sample.shape
+    rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
+    if n == 0:
+        return Lists(rotation, np.zeros((1, dim)), 1)
+    x = sample @ rotation
+    lists = n_lists or max(1, min(MOST_LISTS, n // 16, int(np.sqrt(n_rows or n))))
+    groups = k_means(x, max(1, int(np.sqrt(lists))), rng)
+    home = nearest_lists(x, groups, 1)[:, 0]
+    inner = [k_means(x[home == g], max(1, round(lists * float((home == g).mean()))), rng) for g in range(len(groups)) if (home == g).any()]
+    centroids = np.concatenate(inner)
+    lists = len(centroids)
     home = nearest_lists(x, centroids, 1)[:, 0]
     tried = rng.choice(n, min(n, 400), replace=False)
     near = x[tried] @ x.T
@@ -180,8 +194,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64,
     if n > 2 * FIT_ROWS:
         kept = rows.where(F.xxhash64("id") < int((1 << 63) * (2 * 1.1 * FIT_ROWS / n) - (1 << 63)))
     drawn = kept.select(F.xxhash64("id").alias("h"), "id", "vec").orderBy("h", "id").limit(FIT_ROWS)
-    _, sample = unit([r.vec for r in drawn.collect()], dim)  # at most FIT_ROWS rows
-    index = fit(sample, k)
+    _, sample = unit(drawn.select("vec").toArrow().column(0).to_pylist(), dim)  # at most FIT_ROWS rows
+    index = fit(sample, k, n_rows=n)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -61,3 +61,32 @@ def test_query_against_sql(spark, sf_dir):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     want = sorted(con.execute(ORACLE["p5_found"]).fetchall())
     assert sorted((r.paper_id, r.cut) for r in p5_found(spark, sf_dir).collect()) == want and want
+
+
+def test_sizes_are_held_on_whole_texts(spark):
+    """No piece is over the most; none is under the least where a boundary or landmark lies between the sizes."""
+    from folioflow.llm.chunks import LEAST, cuts
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/papers.parquet").where("length(full_text) > 2000").select("full_text").collect()
+    for r in rows:
+        for most, overlap in ((2000, 100), (700, 0)):
+            got = cuts(r.full_text, most, overlap)
+            assert all(e - b <= most for b, e, _ in got) and got[-1][1] == len(r.full_text)
+            own = [e - p for (_, p, _), (_, e, _) in zip(got, got[1:])]
+            short = [x for x in own if x < int((most - overlap) * LEAST) - overlap]
+            assert len(short) <= 0.02 * len(own) + 1
+
+
+def test_cuts_after_a_common_cut_are_the_same(spark):
+    """An edit changes cuts until one falls on the same place again; from there on, but for the end, all are the same."""
+    from folioflow.llm.chunks import cuts
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/papers.parquet").where("length(full_text) > 6000").select("full_text").limit(40).collect()
+    for r in rows:
+        text = r.full_text
+        edited = text[:1500] + "An inserted sentence. " + text[1500:]
+        one, two = [e for _, e, _ in cuts(text, 1000, 50)], [e - 22 for _, e, _ in cuts(edited, 1000, 50)]
+        common = [e for e in one if e > 1500 and e in two]
+        if common:
+            a, b = [e for e in one if e >= common[0]], [e for e in two if e >= common[0]]
+            assert a[:-2] == b[: len(a) - 2]

@@ -58,3 +58,24 @@ def test_query_recall(spark, sf_dir):
     want = {tuple(sorted((q, v))) for q, vs in brute(np.array([v for _, v in good], float), ids, asked, 10).items() for v in vs}
     got = {(r.vec_id_a, r.vec_id_b) for r in p7_found(spark, sf_dir).collect()}
     assert len(got & want) / len(want) > 0.9
+
+
+def test_few_lists_are_probed_where_vectors_are_clustered(spark):
+    """60,000 vectors around 600 centres: a small share of the lists is probed, and recall against brute force is 0.95 at least."""
+    import numpy as np
+
+    from folioflow.llm.neighbours import fit, nearest
+
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((600, 64))
+    x = centres[rng.integers(0, 600, 60_000)] + 0.35 * rng.standard_normal((60_000, 64))
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    index = fit(u[:20_000], 10, n_rows=len(u))
+    assert len(index.centroids) > 150 and index.probes < 0.2 * len(index.centroids)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:30_000].astype(np.float32))], "vec_id long, vec array<float>")
+    asked = list(range(0, 30_000, 300))
+    got = {(r.query, r.vec_id) for r in nearest(df, spark.createDataFrame([(i,) for i in asked], "vec_id long")).collect()}
+    sims = u[asked] @ u[:30_000].T
+    sims[np.arange(len(asked)), asked] = -2
+    want = {(q, int(j)) for q, row in zip(asked, np.argsort(-sims, axis=1)[:, :10]) for j in row}
+    assert len(got & want) >= 0.95 * len(want)
