@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 #: Library rows of one block; a block's matrix is held by a task.
 BLOCK_ROWS = 20_000
 DEFAULT_TOPK = 10
+#: Lists of bests that are merged into one at a time.
+FAN_IN = 64
 
 
 def resolve_topk(value: object) -> int:
@@ -47,21 +49,23 @@ def topk_mean(candidates: DataFrame, library: DataFrame, k: int = DEFAULT_TOPK,
     candidate meets every block in one matrix product, of which its k best are
     kept, and the blocks' bests are merged. With fewer than k library rows all
     count. An empty library gives the score 0. Candidates or library rows without
-    a direction (null, zero, NaN, another length) are left out.
+    a direction (null, zero, NaN, another length) are left out. Rows with one id
+    and different vectors are different candidates, each with its score; rows
+    equal in both are one.
     """
-    good = valid_vectors(candidates.select("id", "vec"), "vec", dim)
+    good = valid_vectors(candidates.select("id", "vec"), "vec", dim).withColumn("told", F.xxhash64("vec"))
     base = valid_vectors(library.select("vec"), "vec", dim)
     n = base.count()
     if n == 0:
-        return good.select("id", F.lit(0.0).alias("score"))
+        return good.select("id", "told").distinct().select("id", F.lit(0.0).alias("score"))
     blocks = -(-n // block_rows)
     # Blocks are dealt out by row number, so that many copies of a vector don't meet in one block.
     dealt = F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")
-    held = base.select(dealt.alias("block"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("id"), "vec")
+    held = base.select(dealt.alias("block"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("id"), "vec", F.lit(None).cast("long").alias("told"))
     # Candidates are spread over tasks; a task has one block and a share of the candidates.
     shares = max(1, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
-    asked = good.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("share"), F.lit(1).alias("role"), "id", "vec")
-    sent = held.select("block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "role", "id", "vec").unionByName(asked)
+    asked = good.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("share"), F.lit(1).alias("role"), "id", "vec", "told")
+    sent = held.select("block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "role", "id", "vec", "told").unionByName(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, matrix = None, [], None
@@ -87,14 +91,21 @@ def topk_mean(candidates: DataFrame, library: DataFrame, k: int = DEFAULT_TOPK,
                     sims = x[start : start + 256] @ matrix.T
                     m = min(k, sims.shape[1])
                     top = np.sort(np.partition(sims, sims.shape[1] - m, axis=1)[:, -m:], axis=1)[:, ::-1]
-                    ids = part.column(3).take(pa.array(pos[start : start + 256]))
+                    chosen = pa.array(pos[start : start + 256])
+                    ids, told = part.column(3).take(chosen), part.column(5).take(chosen)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * m, pa.int32()), pa.array(top.ravel()))
-                    yield pa.RecordBatch.from_arrays([ids, lists], names=["id", "best"])
-
-    best = sent.repartition(blocks * shares, "block", "share").sortWithinPartitions("block", "share", "role").select("block", "share", "role", "id", "vec").mapInArrow(run, "id long, best array<double>")
-    if blocks > 1:
-        best = best.groupBy("id").agg(F.flatten(F.collect_list("best")).alias("best"))  # at most k numbers a block
-        best = best.withColumn("best", F.slice(F.sort_array("best", False), 1, k))
+                    yield pa.RecordBatch.from_arrays([ids, told, pa.array(np.full(len(ids), here[0]), pa.int32()), lists], names=["id", "told", "block", "best"])
+
+    best = sent.repartition(blocks * shares, "block", "share").sortWithinPartitions("block", "share", "role").select("block", "share", "role", "id", "vec", "told").mapInArrow(run, "id long, told long, block int, best array<double>")
+    # The blocks' bests are merged in a tree of FAN_IN lists a step; a list never has more than FAN_IN * k numbers.
+    keep = F.slice(F.sort_array("best", False), 1, k)
+    groups = blocks
+    while True:
+        groups = -(-groups // FAN_IN)
+        merged = best.withColumn("block", F.pmod("block", F.lit(groups))).groupBy("id", "told", "block")
+        best = merged.agg(F.flatten(F.collect_list("best")).alias("best")).withColumn("best", keep)
+        if groups == 1:
+            break
     total = F.aggregate("best", F.lit(0.0), lambda a, x: a + x)
     return best.select("id", (total / F.size("best") * scale).alias("score"))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import tomllib
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 from folioflow.functions.globs import checked_patterns
 from folioflow.operators.pinning import resolve_cap, resolve_keywords
@@ -31,6 +35,7 @@ class DigestConfig:
     summary_tokens: int = 4000
     affiliation_tokens: int = 2000
     enrich_tasks: int = 8
+    extract_seconds: float = 180.0
 
     def __post_init__(self) -> None:
         checked_patterns(self.include_path, "include_path")
@@ -52,7 +57,52 @@ class DigestConfig:
 
     @staticmethod
     def load(base: dict, custom: dict | None = None) -> "DigestConfig":
-        """base under custom; a value `${NAME}` is that variable of the environment."""
-        merged = {**base, **(custom or {})}
-        told = {k: os.environ.get(v[2:-1]) if isinstance(v, str) and v.startswith("${") and v.endswith("}") else v for k, v in merged.items()}
+        """base under custom, key by key at every depth; ${NAME} in a text is that variable of the environment, ${NAME:default} one that may be missing."""
+        told = resolved(merged(base, custom or {}))
         return replace(DigestConfig(), **told)
+
+    @staticmethod
+    def read(base: str, custom: str | None = None) -> "DigestConfig":
+        """The settings of a file (JSON, TOML or, with its package installed, YAML) under those of another, which may be missing."""
+        return DigestConfig.load(read_settings(base), read_settings(custom) if custom and Path(custom).exists() else None)
+
+
+def merged(base: dict, custom: dict) -> dict:
+    """base with custom's values in place of its own; two dictionaries under one key are merged alike."""
+    out = dict(base)
+    for k, v in custom.items():
+        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+_VARIABLE = re.compile(r"\$\{(\w+)(?::([^}]*))?\}")
+
+
+def resolved(value: object) -> object:
+    """value with the variables in its texts filled in, at every depth; a text that is one missing variable is None."""
+    if isinstance(value, dict):
+        return {k: resolved(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [resolved(v) for v in value]
+    if not isinstance(value, str):
+        return value
+    whole = _VARIABLE.fullmatch(value)
+    if whole:
+        return os.environ.get(whole[1], whole[2])
+    return _VARIABLE.sub(lambda m: os.environ.get(m[1], m[2] or ""), value)
+
+
+def read_settings(path: str) -> dict:
+    """A settings file as a dictionary, by its ending."""
+    text, kind = Path(path).read_text(encoding="utf-8"), Path(path).suffix.lower()
+    if kind == ".json":
+        return json.loads(text)
+    if kind == ".toml":
+        return tomllib.loads(text)
+    if kind in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML settings need the package yaml") from e
+        return yaml.safe_load(text) or {}
+    raise ValueError(f"settings are JSON, TOML or YAML, not {kind}")

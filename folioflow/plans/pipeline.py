@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import affiliation_prompt, embedding_text, listed, matches_any, summary_prompt
+from folioflow.functions.text import affiliation_prompt, embedding_text, first_text, listed, matches_any, summary_prompt
 from folioflow.lineage import cut
 from folioflow.operators.corpus import filter_paths, with_abstract
 from folioflow.operators.pinning import pin
 from folioflow.operators.ranking import topk_mean
 from folioflow.plans.config import DigestConfig
-from folioflow.plans.providers import embedded, written
+from folioflow.plans.fulltext import full_text
+from folioflow.plans.providers import Tokens, embedded, written
 from folioflow.plans.render import EMPTY, block, page
 
 log = logging.getLogger(__name__)
 
 
 class DigestPipeline:
-    """corpus: corpus_id, title, abstract, paths. candidates: id, title, authors, abstract, url, full_text."""
+    """corpus: corpus_id, title, abstract, paths. candidates: id, title, authors, abstract, url, full_text.
 
-    def __init__(self, config: DigestConfig, embedder: str = "hash", writer: str = "first_sentence", organisations: str = "capital_lines", dim: int = 64):
-        self.config, self.embedder, self.writer, self.organisations, self.dim = config, embedder, writer, organisations, dim
+    Candidates may also have what was landed of them: archive (binary), html
+    (string) and pdf (binary). fetch, a function of the chosen papers, may add
+    these columns: it runs after the choice, so nothing is fetched in vain.
+    tokens: makes the tokenizer that prompts are clipped by.
+    """
+
+    def __init__(self, config: DigestConfig, embedder: str = "hash", writer: str = "first_sentence", organisations: str = "capital_lines", dim: int = 64, fetch: Callable[[DataFrame], DataFrame] | None = None, tokens: Callable[[], Tokens] | None = None):
+        self.config, self.embedder, self.writer, self.organisations, self.dim, self.fetch, self.tokens = config, embedder, writer, organisations, dim, fetch, tokens
 
     def library(self, corpus: DataFrame) -> DataFrame:
         return filter_paths(with_abstract(corpus), self.config.include_path, self.config.ignore_path)
@@ -44,11 +52,17 @@ class DigestPipeline:
         return pin(tagged, "is_match", c.cap, min(n, (1 << 31) - 1 - c.cap), c.overflow)
 
     def enriched(self, chosen: DataFrame) -> DataFrame:
-        """Summaries (the abstract where the model fails) and organisations of the survivors, computed once."""
+        """Full texts, summaries (the abstract where the model fails) and organisations of the survivors, computed once."""
         few = cut(chosen).repartition(self.config.enrich_tasks)
+        few = self.fetch(few) if self.fetch else few
+        landed = {"archive": "binary", "html": "string", "pdf": "binary"}
+        if set(landed) & set(few.columns):  # only papers without a full text go through the tiers, each once
+            open_ = F.coalesce(F.length("full_text"), F.lit(0)) == 0
+            tier = [F.when(open_, F.col(c)) if c in few.columns else F.lit(None).cast(kind) for c, kind in landed.items()]
+            few = cut(few.withColumn("full_text", first_text(F.col("full_text"), full_text(*tier, F.col("title"), self.config.extract_seconds))).drop(*landed))
         asked = summary_prompt(F.col("title"), F.col("abstract"), F.col("full_text"), self.config.language)
-        told = few.withColumn("tldr", F.coalesce(written(asked, self.writer, self.config.summary_tokens), "abstract"))
-        told = told.withColumn("affiliations", listed(written(affiliation_prompt(F.col("full_text")), self.organisations, self.config.affiliation_tokens)))
+        told = few.withColumn("tldr", F.coalesce(written(asked, self.writer, self.config.summary_tokens, self.tokens), "abstract"))
+        told = told.withColumn("affiliations", listed(written(affiliation_prompt(F.col("full_text")), self.organisations, self.config.affiliation_tokens, self.tokens)))
         return cut(told)
 
     def run(self, corpus: DataFrame, candidates: DataFrame) -> str | None:

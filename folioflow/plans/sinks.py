@@ -3,44 +3,84 @@
 from __future__ import annotations
 
 import datetime
+import logging
 import smtplib
-from email.header import Header
-from email.mime.text import MIMEText
+from collections.abc import Callable
+from contextlib import closing
+from email.message import EmailMessage
+from email.policy import SMTP
 from email.utils import formataddr, parseaddr
 from pathlib import Path
 
+log = logging.getLogger(__name__)
 
-def subject(today: datetime.date | None = None) -> str:
-    return f"Daily digest {(today or datetime.date.today()):%Y/%m/%d}"
 
+def subject(today: datetime.date | None = None, title: str = "Daily digest") -> str:
+    return f"{title} {(today or datetime.date.today()):%Y/%m/%d}"
 
-def address(text: str) -> str:
-    """An address line whose name part is encoded."""
-    name, mail = parseaddr(text)
-    return formataddr((Header(name, "utf-8").encode(), mail))
 
-
-def message(html: str, sender: str, receiver: str, today: datetime.date | None = None) -> MIMEText:
-    mail = MIMEText(html, "html", "utf-8")
-    mail["From"], mail["To"], mail["Subject"] = address(f"Digest <{sender}>"), address(f"You <{receiver}>"), Header(subject(today), "utf-8").encode()
+def message(html: str, sender: str, receiver: str, title: str = "Daily digest", shown_as: str = "Digest", today: datetime.date | None = None) -> EmailMessage:
+    """A mail with the page as its body; names and subject are encoded by the mail policy. An address with a name of its own keeps it."""
+    mail = EmailMessage(policy=SMTP)
+    name, bare = parseaddr(sender)
+    mail["From"] = formataddr((name or shown_as, bare))
+    mail["To"] = formataddr(parseaddr(receiver))
+    mail["Subject"] = subject(today, title)
+    mail.set_content(html, subtype="html", charset="utf-8", cte="base64")
     return mail
 
 
-def send_mail(html: str, sender: str, receiver: str, server: str, port: int, password: str) -> None:
-    """Sends by STARTTLS, else by SSL, else in the clear."""
-    mail = message(html, sender, receiver).as_string()
+def _starttls(server: str, port: int, seconds: float) -> smtplib.SMTP:
+    link = smtplib.SMTP(server, port, timeout=seconds)
     try:
-        link = smtplib.SMTP(server, port)
         link.starttls()
-    except Exception:
+    except BaseException:
+        link.close()
+        raise
+    return link
+
+
+#: Ways to reach a server, by name, and whether what is sent is encrypted; they are tried in this order.
+WAYS: dict[str, tuple[Callable[[str, int, float], smtplib.SMTP], bool]] = {
+    "starttls": (_starttls, True),
+    "ssl": (lambda server, port, seconds: smtplib.SMTP_SSL(server, port, timeout=seconds), True),
+    "clear": (lambda server, port, seconds: smtplib.SMTP(server, port, timeout=seconds), False),
+}
+
+
+def connected(server: str, port: int, clear: bool = True, seconds: float = 60.0) -> smtplib.SMTP:
+    """A connection by the first way that works. clear=False refuses to send a password without encryption."""
+    errors = []
+    for name, (way, secret) in WAYS.items():
+        if not (secret or clear):
+            continue
         try:
-            link = smtplib.SMTP_SSL(server, port)
-        except Exception:
-            link = smtplib.SMTP(server, port)
-    link.login(sender, password)
-    link.sendmail(sender, [receiver], mail)
-    link.quit()
+            return way(server, port, seconds)
+        except (OSError, smtplib.SMTPException) as e:
+            log.info("%s to %s:%s failed: %r", name, server, port, e)
+            errors.append(f"{name}: {e!r}")
+    raise ConnectionError(f"no way to {server}:{port}; " + "; ".join(errors))
+
+
+def send_mail(html: str, sender: str, receiver: str, server: str, port: int, password: str, clear: bool = True, **said: object) -> None:
+    """Send a page; see connected() for the ways and message() for what may be said."""
+    mail = message(html, sender, receiver, **said)
+    with closing(connected(server, port, clear)) as link:
+        link.login(parseaddr(sender)[1], password)
+        link.send_message(mail)
 
 
 def write_file(html: str, path: str) -> None:
     Path(path).write_text(html, encoding="utf-8")
+
+
+def log_to(level: int = logging.INFO, path: str | None = None, quiet: tuple[str, ...] = ("py4j", "urllib3", "pyspark")) -> None:
+    """Send the engine's log lines to the console, or a file, in one form; loggers of libraries speak up from warnings on only."""
+    target = logging.FileHandler(path, encoding="utf-8") if path else logging.StreamHandler()
+    target.setFormatter(logging.Formatter("%(asctime)s %(levelname)-8s %(name)s: %(message)s"))
+    ours = logging.getLogger("folioflow")
+    ours.handlers[:] = [target]
+    ours.setLevel(level)
+    ours.propagate = False
+    for name in quiet:
+        logging.getLogger(name).setLevel(max(level, logging.WARNING))

@@ -160,7 +160,7 @@ def announce_type_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_date_then_category(spark: SparkSession, d: str) -> DataFrame:
     rows = feeds.latest(table(spark, d, "preprint_items"), "item_date")
-    return feeds.in_categories(rows, "category", ["Neurology", "zoology", "genomics", "epidemiology"]).select("item_id")
+    return feeds.in_categories(rows, "category", ["Neurology", "cardiology", "nephrology", "zoology", "genomics", "epidemiology"]).select("item_id")
 
 
 def preprint_projection(spark: SparkSession, d: str) -> DataFrame:
@@ -197,11 +197,11 @@ def affiliation_truncate(spark: SparkSession, d: str) -> DataFrame:
 
 def affiliation_parse(spark: SparkSession, d: str) -> DataFrame:
     answer = F.concat(F.lit("Here they are: "), F.to_json("affiliations"), F.lit(" as asked"))
-    return table(spark, d, "papers").where("size(affiliations) > 0 and not exists(affiliations, x -> x is null or contains(x, ']'))").select("paper_id", F.array_join(F.array_sort(T.listed(answer)), "|").alias("names"))
+    return table(spark, d, "papers").select("paper_id", F.array_join(F.array_sort(T.listed(answer)), "|").alias("names"))
 
 
 def score_display(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "papers").select("paper_id", T.shown_score(F.floor(F.col("score") * 10) / 10).alias("shown"))
+    return table(spark, d, "papers").select("paper_id", T.shown_score(F.col("score")).alias("shown"))
 
 
 def star_rating(spark: SparkSession, d: str) -> DataFrame:
@@ -313,7 +313,7 @@ ORACLE = {
     "path_matches": r"""SELECT corpus_id, (i - 1)::INT AS "at", regexp_full_match(p, '2022/(([^/.][^/]*)/)*([^/.][^/]*)?') AS below, regexp_full_match(p, '[^/.][^/]*/survey') AS second FROM (SELECT corpus_id, unnest(paths) AS p, generate_subscripts(paths, 1) AS i FROM corpus_papers)""",
     "non_empty_filter": "SELECT corpus_id FROM corpus_papers WHERE abstract <> ''",
     "announce_type_filter": "SELECT event_id FROM events WHERE event_type IN ('view', 'click', 'error')",
-    "latest_date_then_category": "SELECT item_id FROM preprint_items WHERE item_date = (SELECT max(item_date) FROM preprint_items) AND category IN ('neurology', 'zoology', 'genomics', 'epidemiology')",
+    "latest_date_then_category": "SELECT item_id FROM preprint_items WHERE item_date = (SELECT max(item_date) FROM preprint_items) AND category IN ('neurology', 'cardiology', 'nephrology', 'zoology', 'genomics', 'epidemiology')",
     "preprint_projection": f"SELECT item_id, 'https://www.' || server || '.org/content/' || doi || 'v' || item_version || '.full.pdf' AS url, array_to_string(list_transform(string_split(authors, ';'), lambda x: {_STRIP.replace('@', 'x')}), '|') AS authors FROM preprint_items",
     "union_sources": "SELECT 0 AS source_no, paper_id AS ord, title FROM papers UNION ALL SELECT 1, item_id, title FROM preprint_items UNION ALL SELECT 2, corpus_id, title FROM corpus_papers",
     "debug_limit": "SELECT paper_id, title FROM papers ORDER BY paper_id LIMIT 10",
@@ -321,8 +321,8 @@ ORACLE = {
     "author_split_join": f"SELECT item_id, array_to_string(list_transform(string_split(authors, ';'), lambda x: {_STRIP.replace('@', 'x')}), '|') AS names, len(string_split(authors, ';'))::INT AS n FROM preprint_items",
     "author_truncate": "SELECT paper_id, coalesce(CASE WHEN len(authors) <= 5 THEN array_to_string(authors, ', ') ELSE array_to_string(list_concat(list_concat(authors[1:3], ['...']), authors[-2:]), ', ') END, '') AS shown FROM papers",
     "affiliation_truncate": "SELECT paper_id, CASE WHEN affiliations IS NULL THEN 'Unknown Affiliation' ELSE coalesce(array_to_string(affiliations[1:5], ', '), '') || CASE WHEN len(affiliations) > 5 THEN ', ...' ELSE '' END END AS shown FROM papers",
-    "affiliation_parse": "SELECT paper_id, array_to_string(list_sort(list_distinct(affiliations)), '|') AS names FROM papers WHERE len(affiliations) > 0 AND NOT list_bool_or(list_transform(affiliations, lambda x: x IS NULL OR contains(x, ']')))",
-    "score_display": "SELECT paper_id, coalesce(printf('%.1f', floor(score * 10) / 10), 'Unknown') AS shown FROM papers",
+    "affiliation_parse": "SELECT paper_id, CASE WHEN contains(array_to_string(affiliations, '|'), ']') THEN NULL ELSE array_to_string(list_sort(list_distinct(affiliations)), '|') END AS names FROM papers",
+    "score_display": "SELECT paper_id, coalesce(printf('%.1f', score), 'Unknown') AS shown FROM papers",
     "star_rating": "SELECT paper_id, CASE WHEN score IS NULL OR score <= 6 THEN '' WHEN score >= 8 THEN repeat('★', 5) ELSE repeat('★', (ceil((score - 6) / 0.2::DOUBLE)::INT // 2)) || repeat('☆', ceil((score - 6) / 0.2::DOUBLE)::INT % 2) END AS stars FROM papers",
     "url_rewrite": "SELECT paper_id, replace(pdf_url, '/pdf/', '/src/') AS source_url, replace(url, '/abs/', '/html/') AS html_url FROM papers",
     "id_prefix_strip": r"SELECT paper_id, regexp_replace(url, '^oai:[a-zA-Z.]+:', '') AS bare FROM papers",

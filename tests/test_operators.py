@@ -135,3 +135,18 @@ def test_tex_archives():
 def test_pages():
     html = "<html><head><script>no</script></head><body><h1>Hi</h1><p>a <b>b</b>&amp;c</p><table><tr><td>t</td></tr></table></body>"
     assert page_text(html) == "Hi\na b&c" and page_text(None) is None and page_text("<p> </p>") is None
+
+
+def test_score_is_the_same_for_any_size_of_blocks(spark):
+    """Rows of one id with different vectors, repeated rows and many blocks, merged in more than one step."""
+    import numpy as np
+
+    from folioflow.operators import ranking
+
+    rng = np.random.default_rng(4)
+    rows = [(i % 9, [float(x) for x in rng.standard_normal(4)]) for i in range(12)]
+    cand = spark.createDataFrame([*rows, rows[0]], "id long, vec array<double>")
+    library = spark.createDataFrame([([float(x) for x in rng.standard_normal(4)],) for _ in range(70)], "vec array<double>")
+    got = [sorted((r.id, round(r.score, 9)) for r in ranking.topk_mean(cand, library, 5, 4, block_rows=n).collect()) for n in (1000, 30, 1)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 12
+    assert len(ranking.topk_mean(cand, library.where("false"), 5, 4).collect()) == 12
