@@ -26,8 +26,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -278,6 +279,15 @@ class BitMap:
         return met.where(F.col("mask").bitwiseAND(F.col("__bit")) != 0).select(*df.columns)
 
 
+class Prepared(NamedTuple):
+    """A batch ready to be added: its name, its folder in the shared one, its rows with their keys, and the keys' bit map."""
+
+    name: str
+    work: str
+    marked: DataFrame
+    mine: BitMap
+
+
 class WorkIndex:
     """The accepted works: their keys, in folders by hash, and the first record of each.
 
@@ -400,6 +410,26 @@ class WorkIndex:
         crowd = dealt.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select(*rows.columns)
         return crowd.unionByName(rows.join(hot, "key", "left_anti").select(*rows.columns))
 
+    def prepare(self, batch: DataFrame, id_col: str, title_col: str, url_col: str, name: str | None = None) -> Prepared:
+        """A batch's keys and their bit map, which don't depend on what is stored; accept() takes them in."""
+        work = scratch(self.spark, "batch")
+        rows = profiles(batch.where(F.col(f"`{id_col}`").isNotNull()), id_col, title_col, url_col)
+        rows.write.parquet(f"{work}/marked")
+        marked = self.spark.read.schema(rows.schema).parquet(f"{work}/marked")
+        hashes = F.explode(F.concat(F.array("at", "whole"), F.coalesce("bands", F.array().cast("array<long>"))))
+        return Prepared(uuid.uuid4().hex if name is None else name, work, marked, BitMap(marked.select(hashes.alias("h")).where("h is not null")))
+
+    def accept(self, batch: Prepared) -> DataFrame:
+        """Add a prepared batch; id and first of each of its rows that repeats an earlier row."""
+        if batch.name not in self.state["found"]:
+            self._accept(batch)
+        remove(self.spark, batch.work)
+        return self.result(batch.name)
+
+    def result(self, name: str) -> DataFrame:
+        """What a batch of that name gave."""
+        return self.spark.read.schema(self.PAIRS + ", old boolean").parquet(f"{self.path}/{self.state['found'][name]}").where("not old").select("id", "first")
+
     def ingest(self, batch: DataFrame, id_col: str, title_col: str, url_col: str, name: str | None = None) -> DataFrame:
         """Add a batch; id and first of each of its rows that repeats an earlier row.
 
@@ -409,17 +439,26 @@ class WorkIndex:
         tell nothing; a row with neither is new. Ties of equal rows go by id. A
         name that was ingested before adds nothing and gives its result again.
         """
-        name = uuid.uuid4().hex if name is None else name
-        if name not in self.state["found"]:
-            work = scratch(self.spark, "batch")
-            with tidy(self.spark):
-                self._ingest(batch.where(F.col(f"`{id_col}`").isNotNull()), id_col, title_col, url_col, name, work)
-            remove(self.spark, work)
-        return self.spark.read.schema(self.PAIRS + ", old boolean").parquet(f"{self.path}/{self.state['found'][name]}").where("not old").select("id", "first")
-
-    def _ingest(self, rows: DataFrame, id_col: str, title_col: str, url_col: str, name: str, work: str) -> None:
+        if name is not None and name in self.state["found"]:
+            return self.result(name)
+        with tidy(self.spark):
+            return self.accept(self.prepare(batch, id_col, title_col, url_col, name))
+
+    def ingest_all(self, batches: Iterable[tuple[str, DataFrame]], id_col: str, title_col: str, url_col: str) -> None:
+        """Add batches one after the other; while one is added the next is prepared."""
+        with tidy(self.spark), ThreadPoolExecutor(1) as ahead:
+            ready: Future | None = None
+            for name, batch in batches:
+                coming = ahead.submit(self.prepare, batch, id_col, title_col, url_col, name)
+                if ready is not None:
+                    self.accept(ready.result())
+                ready = coming
+            if ready is not None:
+                self.accept(ready.result())
+
+    def _accept(self, batch: Prepared) -> None:
         spark, parts = self.spark, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        history = bool(self.state["keys"])
+        history, marked, mine, work = bool(self.state["keys"]), batch.marked, batch.mine, batch.work
 
         def kept(df: DataFrame, to: str) -> DataFrame:
             df.write.parquet(to)
@@ -432,14 +471,12 @@ class WorkIndex:
             moved = self.joined().select(F.col("id").alias(of), F.col("first").alias("__now"))
             return df.join(moved, of, "left").withColumn(of, F.coalesce("__now", of)).select(*df.columns)
 
-        marked = kept(profiles(rows, id_col, title_col, url_col), f"{work}/marked")
         none = F.lit(None)
         ways = F.array(
             F.struct(F.lit(ADDRESS).alias("kind"), F.col("at").alias("key"), none.cast("array<long>").alias("bands"), none.cast("binary").alias("signature")),
             F.struct(F.lit(EXACT).alias("kind"), F.col("whole").alias("key"), F.col("bands"), F.col("signature")),
         )
         plain = marked.select("id", F.explode(ways).alias("k")).select("id", "k.*").where("key is not null")
-        mine = BitMap(marked.select(F.explode(F.concat(F.array("at", "whole"), F.coalesce("bands", F.array().cast("array<long>")))).alias("h")).where("h is not null"))
         crowded = mine.most > self.hot / 16 or any(s["crowded"] for s in self.state["keys"])
 
         # Copies of a whole title or an address: everyone is linked to the first, by minima only.
@@ -471,18 +508,38 @@ class WorkIndex:
         edges = links.groupBy(F.greatest("later", "earlier").alias("id"), F.least("later", "earlier").alias("first")).agg(F.max(F.when(larger, F.col("later_old")).otherwise(F.col("earlier_old"))).alias("old"))
         edges = kept(edges, found_at)
 
-        # Mostly each record is linked to one first that is linked to none: then the links are the result.
+        # Only records of new spellings or addresses bring new keys.
+        def segments(edges: DataFrame, pool: ThreadPoolExecutor) -> tuple[Future, Future]:
+            """The batch's keys and titles as segments, written side by side."""
+            mates = edges.where("not old").select("id", "first")
+            named = told.where("id = first and known is null").select("kind", "key", "id").join(mates, "id", "left")
+            fresh = named.select("kind", "key", F.coalesce("first", "id").alias("id"), none.cast("binary").alias("signature"))
+            fresh = fresh.unionByName(lone.select(F.lit(BAND).alias("kind"), "key", "id", "signature"))
+            works = marked.select("id", "title").join(mates, "id", "left").select("id", F.coalesce("first", "id").alias("first"), "title")
+            return (
+                pool.submit(self._write, fresh, "keys", F.col("key"), mine.rows, 0, mine.most > self.hot / 16),
+                pool.submit(self._write, works, "works", F.xxhash64("id"), max(1, mine.rows // (BANDS + 2))),
+            )
+
+        # Mostly each record is linked to one first that is linked to none: then the links are the result. While that
+        # is looked up the segments are written as if it were so; what turns out wrong is written again.
         ends = edges.select("id", F.col("first").alias("lo"), F.col("old").cast("int").alias("old")).unionByName(edges.select(F.col("first").alias("id"), none.cast("long").alias("lo"), F.lit(0).alias("old")))
         seen = ends.groupBy("id").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"), F.count_if(F.col("lo").isNull()).alias("roots"), F.max("old").alias("old"))
-        open_ends, moved = seen.agg(F.count_if(F.expr("lo <> hi or (lo is not null and roots > 0)")), F.count_if(F.col("old") == 1)).first()
-        if open_ends:
-            ids = marked.select("id").distinct().withColumn("new", F.lit(True))
-            roots = components(edges, "id", "first").where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("first"))
-            before, found_at = found_at, f"{self.path}/found/{uuid.uuid4().hex}"
-            edges = kept(roots.join(ids, "id", "left").select("id", "first", F.col("new").isNull().alias("old")), found_at)
-            remove(spark, before)
-            moved = edges.where("old").count()
-        state = self.state | {"found": self.state["found"] | {name: found_at.removeprefix(f"{self.path}/")}}
+        with ThreadPoolExecutor(2) as pool:
+            writing = segments(edges, pool)
+            open_ends, moved = seen.agg(F.count_if(F.expr("lo <> hi or (lo is not null and roots > 0)")), F.count_if(F.col("old") == 1)).first()
+            keys, titles = (w.result() for w in writing)
+            if open_ends:
+                ids = marked.select("id").distinct().withColumn("new", F.lit(True))
+                roots = components(edges, "id", "first").where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("first"))
+                before, found_at = found_at, f"{self.path}/found/{uuid.uuid4().hex}"
+                edges = kept(roots.join(ids, "id", "left").select("id", "first", F.col("new").isNull().alias("old")), found_at)
+                wrong = [before, *(f"{self.path}/{s['name']}" for s in (keys, titles))]
+                keys, titles = (w.result() for w in segments(edges, pool))
+                moved = edges.where("old").count()
+                for path in wrong:
+                    remove(spark, path)
+        state = self.state | {"found": self.state["found"] | {batch.name: found_at.removeprefix(f"{self.path}/")}}
         if moved:  # also what was joined to a first that is none any more gets the new one
             gone = edges.where("old").select("id", "first")
             if self.state["joined"]:
@@ -492,16 +549,7 @@ class WorkIndex:
             gone.coalesce(1).write.parquet(f"{self.path}/{to}")
             state["joined"] = [*state["joined"], to]
 
-        # Only records of new spellings or addresses bring new keys.
-        mates = edges.where("not old").select("id", "first")
-        named = told.where("id = first and known is null").select("kind", "key", "id").join(mates, "id", "left")
-        fresh = named.select("kind", "key", F.coalesce("first", "id").alias("id"), none.cast("binary").alias("signature"))
-        fresh = fresh.unionByName(lone.select(F.lit(BAND).alias("kind"), "key", "id", "signature"))
-        works = marked.select("id", "title").join(mates, "id", "left").select("id", F.coalesce("first", "id").alias("first"), "title")
-        with ThreadPoolExecutor(2) as both:  # the two tables don't depend on each other
-            keys = both.submit(self._write, fresh, "keys", F.col("key"), mine.rows, 0, mine.most > self.hot / 16)
-            titles = both.submit(self._write, works, "works", F.xxhash64("id"), max(1, mine.rows // (BANDS + 2)))
-            state |= {"keys": [*state["keys"], keys.result()], "works": [*state["works"], titles.result()]}
+        state |= {"keys": [*state["keys"], keys], "works": [*state["works"], titles]}
         state, old_keys = self._merged(state, "keys", self.KEYS, F.col("key"))
         state, old_works = self._merged(state, "works", self.WORKS, F.xxhash64("id"))
         self._commit(state)

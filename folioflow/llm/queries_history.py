@@ -15,8 +15,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = table(spark, sf_dir, "papers").select("paper_id", "batch_no", "title", "url")
     batches = sorted(r[0] for r in papers.where("batch_no is not null").select("batch_no").distinct().collect())  # one number a batch
     index = WorkIndex(spark, scratch(spark, "works"))
-    for at in batches:
-        index.ingest(papers.where(F.col("batch_no") == at), "paper_id", "title", "url", name=str(at))
+    index.ingest_all(((str(at), papers.where(F.col("batch_no") == at)) for at in batches), "paper_id", "title", "url")
     return index.repeats().select(F.col("first").alias("first_paper_id"), F.col("id").alias("paper_id"))
 
 
