@@ -45,8 +45,9 @@ _AT = re.compile(r"(?<=[\w+-])\s?[\[({<]\s?(?:at|ät|arroba|@)\s?[\])}>]\s?(?=\w
 _DOT = re.compile(r"(?<=[\w-])\s?[\[({]\s?(?:dot|punto|punkt|\.)\s?[\])}]\s?(?=\w)|(?<=[\w-]) (?:dot|punto|punkt) (?=\w)", re.I)
 
 # What every match of the rule above has in it, so that a text without it is passed by.
-_AT_GATE = re.compile(r"[\[({<]\s?(?:at|ät|arroba|@)| (?:dot|punto|punkt) |[\[({]\s?dot", re.I)
-_DOT_GATE = re.compile(r"[\[({]\s?(?:dot|punto|punkt|\.)| (?:dot|punto|punkt) ", re.I)
+_AT_GATE = re.compile(r"[\[({<]\s?(?:[Aa][Tt]|[äÄ][Tt]|[Aa][Rr][Rr]|@)")
+_DOT_GATE = re.compile(r"[\[({]\s?(?:[Dd][Oo][Tt]|[Pp][Uu][Nn]|\.)")
+_DOT_WORDS = (" dot ", " punto ", " punkt ")
 
 
 class Normal:
@@ -128,9 +129,10 @@ def normal(text: str) -> Normal:
                     edits += [(m.start() + i, m.start() + i + 1, _LOOKALIKES[c]) for i, c in enumerate(word) if c in _LOOKALIKES]
         x.edit(edits)
     low = x.text.lower()  # the rules run only where a text has what they need
-    if _AT_GATE.search(x.text):
+    dots = any(w in low for w in _DOT_WORDS) or _DOT_GATE.search(x.text) is not None
+    if dots or _AT_GATE.search(x.text):
         x.edit([(m.start(), m.end(), "@") for m in _AT.finditer(x.text)])
-    if _DOT_GATE.search(x.text):
+    if dots:
         x.edit([(m.start(), m.end(), ".") for m in _DOT.finditer(x.text)])
     spelled = []
     for m in _SPELLED.finditer(x.text) if sum(low.count(w) for w in _DIGITS) >= 4 else ():
