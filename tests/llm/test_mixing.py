@@ -59,3 +59,23 @@ def test_copies_nulls_and_empty_tables(spark):
     mixed, report = mix(texts, targets)
     assert mixed.count() == 0 and [r.reached_share for r in report.collect()] == [0.0]
     assert mix(texts, targets.limit(0))[1].count() == 0
+
+
+def test_very_uneven_sizes_stay_within_one_text():
+    """Whatever the sizes, the tokens drawn differ from the goal by less than the text that is left over, and chances hold on average."""
+    import random
+
+    from folioflow.llm.mixing import round_all
+
+    rng = random.Random(8)
+    for trial in range(60):
+        sizes = sorted((float(int(rng.paretovariate(0.9))) for _ in range(200)), reverse=True)
+        chances = [rng.choice((0.1, 0.37, 0.9))] * 200
+        out = round_all(list(range(200)), sizes, chances, seed=trial)
+        left = [i for i, p in enumerate(out) if 0 < p < 1]
+        assert len(left) <= 1
+        settled = sum(s * p for s, p in zip(sizes, out))
+        assert abs(settled - sum(s * p for s, p in zip(sizes, chances))) < 1e-6 * sum(sizes)
+    drawn = [round_all([0, 1, 2], [5.0, 50.0, 1000.0], [0.3, 0.3, 0.3], seed=s) for s in range(6000)]
+    for k in range(3):
+        assert abs(sum(d[k] for d in drawn) / len(drawn) - 0.3) < 0.03
