@@ -339,5 +339,9 @@ ORACLE = {
         || CASE WHEN length(title) > 0 THEN 'Title:' || chr(10) || title || chr(10) || chr(10) ELSE '' END || CASE WHEN length(abstract) > 0 THEN 'Abstract:' || chr(10) || abstract || chr(10) || chr(10) ELSE '' END
         || CASE WHEN length(full_text) > 0 THEN 'Text:' || chr(10) || full_text || chr(10) || chr(10) ELSE '' END END AS prompt,
         'List the authors'' organisations as a JSON array of strings, in the order of the authors.' || chr(10) || chr(10) || full_text AS asked FROM papers""",
+    "tldr_offline": _pin_sql("compat") + r""", p AS (SELECT paper_id, CASE WHEN coalesce(length(abstract), 0) = 0 THEN 'No text to summarise.' ELSE 'Summarise this paper in one sentence of English.' || chr(10) || chr(10)
+        || CASE WHEN length(title) > 0 THEN 'Title:' || chr(10) || title || chr(10) || chr(10) ELSE '' END || 'Abstract:' || chr(10) || abstract || chr(10) || chr(10) END AS prompt FROM papers JOIN placed ON placed.id = papers.paper_id),
+        a AS (SELECT paper_id, prompt, regexp_matches(prompt, '(?s)Abstract:\n.*?\n\n') AS has, """ + _STRIP.replace("@", r"regexp_extract(prompt, '(?s)Abstract:\n(.*?)\n\n', 1)") + """ AS said FROM p)
+        SELECT paper_id, CASE WHEN NOT has THEN left(prompt, 100) WHEN regexp_matches(said, '(?s)^.*?[.!?]""" + _WS + """') THEN regexp_extract(said, '(?s)^(.*?[.!?])""" + _WS + """', 1) ELSE said END AS tldr FROM a""",
     "fulltext_fallback": "SELECT paper_id, coalesce(nullif(full_text, ''), nullif(tldr, ''), nullif(abstract, '')) AS said FROM papers",
 }
