@@ -20,7 +20,7 @@ from folioflow.operators.tex import expand_archives
 from folioflow.plans.config import DigestConfig
 from folioflow.plans.pipeline import DigestPipeline
 from folioflow.plans.providers import written
-from folioflow.plans.render import block, page
+from folioflow.plans.render import EMPTY, block, page
 from folioflow.tables import table
 
 KEYWORDS = ["dosage", "protein"]
@@ -294,6 +294,19 @@ QUERIES = {name: globals()[name] for name in _NAMES.split()}
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _STRIP = "regexp_replace(@, '^" + _WS + "+|" + _WS + "+$', '', 'g')"
 _TERMS = ["tensor", "matching", "on", "sensor", "networks"]
+def _safe(text: str) -> str:
+    """SQL of a text for HTML."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = f"replace({text}, '{raw}', '{safe}')"
+    return text
+
+
+_AUTHORS_SQL = "coalesce(CASE WHEN len(authors) <= 5 THEN array_to_string(authors, ', ') ELSE array_to_string(list_concat(list_concat(authors[1:3], ['...']), authors[-2:]), ', ') END, '')"
+_PLACES_SQL = "CASE WHEN affiliations IS NULL THEN 'Unknown Affiliation' ELSE coalesce(array_to_string(affiliations[1:5], ', '), '') || CASE WHEN len(affiliations) > 5 THEN ', ...' ELSE '' END END"
+_PAGE_SQL = f""", b AS (SELECT section, position, '<div class=''paper''><h3>' || CASE WHEN placed.pinned THEN '<b>Pinned</b> ' ELSE '' END || {_safe("coalesce(title, '')")} || '</h3><p>' || {_safe(_AUTHORS_SQL)} || '</p><p><i>' || {_safe(_PLACES_SQL)}
+        || '</i></p><p>Relevance: ' || coalesce(printf('%.1f', placed.score), 'Unknown') || '</p><p>' || {_safe("coalesce(tldr, '')")} || '</p><a href=''' || {_safe("coalesce(pdf_url, '')")} || '''>PDF</a></div>' AS block FROM placed JOIN papers ON placed.id = papers.paper_id),
+        s AS (SELECT section, string_agg(block, '' ORDER BY position) AS blocks FROM b GROUP BY section)
+        SELECT CASE WHEN count(*) = 0 THEN '{EMPTY}' ELSE '<html><body>' || coalesce('<h2>Pinned</h2>' || max(blocks) FILTER (WHERE section = 'pinned'), '') || coalesce('<h2>Recommended</h2>' || max(blocks) FILTER (WHERE section = 'recommended'), '') || '</body></html>' END AS html FROM s"""
 ORACLE = {
     "rank_topk_mean": _score_sql(10) + " SELECT * FROM scores",
     "rank_topk1": _score_sql(1) + " SELECT * FROM scores",
@@ -343,5 +356,6 @@ ORACLE = {
         || CASE WHEN length(title) > 0 THEN 'Title:' || chr(10) || title || chr(10) || chr(10) ELSE '' END || 'Abstract:' || chr(10) || abstract || chr(10) || chr(10) END AS prompt FROM papers JOIN placed ON placed.id = papers.paper_id),
         a AS (SELECT paper_id, prompt, regexp_matches(prompt, '(?s)Abstract:\n.*?\n\n') AS has, """ + _STRIP.replace("@", r"regexp_extract(prompt, '(?s)Abstract:\n(.*?)\n\n', 1)") + """ AS said FROM p)
         SELECT paper_id, CASE WHEN NOT has THEN left(prompt, 100) WHEN regexp_matches(said, '(?s)^.*?[.!?]""" + _WS + """') THEN regexp_extract(said, '(?s)^(.*?[.!?])""" + _WS + """', 1) ELSE said END AS tldr FROM a""",
+    "digest_html": _pin_sql("compat") + _PAGE_SQL,
     "fulltext_fallback": "SELECT paper_id, coalesce(nullif(full_text, ''), nullif(tldr, ''), nullif(abstract, '')) AS said FROM papers",
 }
