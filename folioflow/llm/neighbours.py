@@ -78,7 +78,7 @@ def fit(sample: np.ndarray, k: int, seed: int = 5, n_lists: int | None = None, n
     rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
     if n == 0:
         return Lists(rotation, np.zeros((1, dim)), 1)
-    x = sample @ rotation
+    x = (sample @ rotation).astype(np.float32)
     lists = n_lists or max(1, min(MOST_LISTS, n // 16, int(np.sqrt(n_rows or n))))
     groups = k_means(x, max(1, int(np.sqrt(lists))), rng)
     home = nearest_lists(x, groups, 1)[:, 0]
@@ -87,9 +87,11 @@ def fit(sample: np.ndarray, k: int, seed: int = 5, n_lists: int | None = None, n
     lists = len(centroids)
     home = nearest_lists(x, centroids, 1)[:, 0]
     tried = rng.choice(n, min(n, 400), replace=False)
-    near = x[tried] @ x.T
-    near[np.arange(len(tried)), tried] = -2
-    top = np.argpartition(-near, min(k, n - 1) - 1, axis=1)[:, :k] if n > 1 else np.zeros((len(tried), 1), int)
+    top = np.zeros((len(tried), min(k, max(1, n - 1))), np.int64)
+    for at in range(0, len(tried) if n > 1 else 0, 32):  # few rows at a time, so that the driver's memory stays small
+        near = x[tried[at : at + 32]] @ x.T
+        near[np.arange(len(near)), tried[at : at + 32]] = -2
+        top[at : at + 32] = np.argpartition(near, n - top.shape[1], axis=1)[:, n - top.shape[1] :]
     order = nearest_lists(x[tried], centroids, lists)
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(lists)[None, :].repeat(len(tried), 0), axis=1)
@@ -98,12 +100,13 @@ def fit(sample: np.ndarray, k: int, seed: int = 5, n_lists: int | None = None, n
     return Lists(rotation, centroids, min(lists, max(FIRST_LISTS, probes)))
 
 
-def nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    """The n nearest centroids of each row, the nearest first."""
-    sims = x @ centroids.T
-    if n == 1:
-        return sims.argmax(axis=1)[:, None]
-    return np.argsort(-sims, axis=1, kind="stable")[:, :n]
+def nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int, rows: int = 8_192) -> np.ndarray:
+    """The n nearest centroids of each row, the nearest first; so many rows at a time are held against all centroids."""
+    out = np.empty((len(x), n), np.int64)
+    for at in range(0, len(x), rows):
+        sims = x[at : at + rows] @ centroids.T
+        out[at : at + rows] = sims.argmax(axis=1)[:, None] if n == 1 else np.argsort(-sims, axis=1, kind="stable")[:, :n]
+    return out
 
 
 def scan(queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,8 +197,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64,
     if n > 2 * FIT_ROWS:
         kept = rows.where(F.xxhash64("id") < int((1 << 63) * (2 * 1.1 * FIT_ROWS / n) - (1 << 63)))
     drawn = kept.select(F.xxhash64("id").alias("h"), "id", "vec").orderBy("h", "id").limit(FIT_ROWS)
-    _, sample = unit(drawn.select("vec").toArrow().column(0).to_pylist(), dim)  # at most FIT_ROWS rows
-    index = fit(sample, k, n_rows=n)
+    told = drawn.select("vec").toArrow().column(0)  # at most FIT_ROWS rows
+    parts = [unit(told.slice(at, 4_096).to_pylist(), dim)[1].astype(np.float32) for at in range(0, len(told), 4_096)]
+    index = fit(np.concatenate(parts) if parts else np.zeros((0, dim), np.float32), k, n_rows=n)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
