@@ -42,13 +42,35 @@ def valid_vectors(df: DataFrame, vec: str, dim: int) -> DataFrame:
     return df.where(F.size(vec) == dim).withColumn("__sq", square).where(F.col("__sq").isNotNull() & ~F.isnan("__sq") & (F.col("__sq") > 0) & (F.col("__sq") < float("inf"))).drop("__sq")
 
 
+def _mean_of_all(good: DataFrame, base: DataFrame, n: int, dim: int, scale: float) -> DataFrame:
+    """id and score where all n library rows count: a mean of cosines is the product with the mean of the unit rows, so no cosine is listed."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(dim)
+        for batch in batches:
+            total += _unit_rows(batch.column(0))[1].reshape(-1, dim).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    parts = base.mapInArrow(sums, "s array<double>")
+    mean = np.array(parts.agg(*[F.sum(F.col("s")[i]) for i in range(dim)]).first()) / n  # one row of `dim` numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos, x = _unit_rows(batch.column(2))
+            chosen = pa.array(pos)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(x.reshape(-1, dim) @ mean * scale)], names=["id", "told", "score"])
+
+    scores = good.select("id", "told", "vec").mapInArrow(run, "id long, told long, score double")
+    return scores.groupBy("id", "told").agg(F.min("score").alias("score")).select("id", "score")
+
+
 def topk_mean(candidates: DataFrame, library: DataFrame, k: int = DEFAULT_TOPK, dim: int = 64, scale: float = 10.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """id and score of every candidate: the mean of its k largest cosines to the library, times `scale`.
 
     candidates: id, vec; library: vec. The library is cut into blocks; every
     candidate meets every block in one matrix product, of which its k best are
-    kept, and the blocks' bests are merged. With fewer than k library rows all
-    count. An empty library gives the score 0. Candidates or library rows without
+    kept, and the blocks' bests are merged. With k library rows or fewer all count,
+    by their mean direction. An empty library gives the score 0. Candidates or library rows without
     a direction (null, zero, NaN, another length) are left out. Rows with one id
     and different vectors are different candidates, each with its score; rows
     equal in both are one.
@@ -58,6 +80,8 @@ def topk_mean(candidates: DataFrame, library: DataFrame, k: int = DEFAULT_TOPK,
     n = base.count()
     if n == 0:
         return good.select("id", "told").distinct().select("id", F.lit(0.0).alias("score"))
+    if n <= k:
+        return _mean_of_all(good, base, n, dim, scale)
     blocks = -(-n // block_rows)
     # Blocks are dealt out by row number, so that many copies of a vector don't meet in one block.
     dealt = F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")

@@ -150,3 +150,17 @@ def test_score_is_the_same_for_any_size_of_blocks(spark):
     got = [sorted((r.id, round(r.score, 9)) for r in ranking.topk_mean(cand, library, 5, 4, block_rows=n).collect()) for n in (1000, 30, 1)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 12
     assert len(ranking.topk_mean(cand, library.where("false"), 5, 4).collect()) == 12
+
+
+def test_a_score_over_the_whole_library_lists_no_cosines(spark):
+    """Where k reaches the library's size, lists of its length for each candidate would go through the shuffle."""
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal((30, 4)), rng.standard_normal((25, 4)) * 3
+    rows = [(i // 2, v.tolist()) for i, v in enumerate(a)]
+    library = vectors(spark, [(v.tolist(),) for v in b] + [([0.0] * 4,), (None,)], "vec array<double>")
+    want = sorted((i // 2, round(float((b @ v / np.linalg.norm(v) / np.linalg.norm(b, axis=1)).mean() * 10), 9)) for i, v in enumerate(a))
+    for k, lists in ((25, False), (1000, False), (24, True)):
+        scores = topk_mean(vectors(spark, [*rows, rows[0], (99, None)], "id long, vec array<double>"), library, k, dim=4, block_rows=7)
+        assert ("collect_list" in scores._jdf.queryExecution().optimizedPlan().toString()) == lists
+        if not lists:
+            assert sorted((r.id, round(r.score, 9)) for r in scores.collect()) == want
