@@ -242,3 +242,25 @@ def test_components_raise_when_rounds_run_out(spark):
     with pytest.raises(RuntimeError):
         components(path, most_rounds=1)
     assert {r.root for r in components(path).collect()} == {0}
+
+
+def test_a_batch_takes_few_jobs_and_opens_only_its_share_of_the_folders(spark):
+    from folioflow.llm.history import BAND, Stored
+
+    schema = "id long, title string, url string"
+    index = WorkIndex(spark, scratch(spark, "t"))
+    jobs = []
+    for at in range(3):
+        rows = fresh_rows(20, at * 20, at) + [(1000 + at, fresh_rows(1, 0, 0)[0][1], None)]
+        before = max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=-1)
+        assert rows_of(index.ingest(spark.createDataFrame(rows, schema), "id", "title", "url")) == [(1000 + at, 0)]
+        jobs.append(max(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before)
+    assert max(jobs) <= 12, jobs
+    wide = WorkIndex(spark, scratch(spark, "t"), bucket_rows=40)
+    wide.ingest(spark.createDataFrame(fresh_rows(40, 0, 7), schema), "id", "title", "url")
+    stored, keys = Stored(wide.path, wide.state["keys"]), []
+    for share in range(4):
+        part = [k for t in stored.read(share, 4, ["key"], (BAND,)) for k in t.column("key").to_pylist()]
+        assert part and {k & 3 for k in part} == {share}
+        keys += part
+    assert len(keys) >= 40 * 20
